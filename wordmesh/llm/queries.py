@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmesh.llm import exact_dedup, packing, records, sharding
+from wordmesh.llm import exact_dedup, near_dedup, packing, records, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_records": op3_records,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op10_sharding": sharding.PLACE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op5_near_dedup": near_dedup.GROUPS_SQL, "op10_sharding": sharding.PLACE_SQL}
