@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmesh.llm import decontaminate, exact_dedup, langid, near_dedup, packing, records, sharding
+from wordmesh.llm import decontaminate, exact_dedup, langid, near_dedup, packing, records, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op9_repeats": op9_repeats,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op5_near_dedup": near_dedup.GROUPS_SQL, "op7_decontaminate": decontaminate.CONTAMINATED_SQL, "op10_sharding": sharding.PLACE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op5_near_dedup": near_dedup.GROUPS_SQL, "op7_decontaminate": decontaminate.CONTAMINATED_SQL, "op9_repeats": substrings.REPEATS_SQL, "op10_sharding": sharding.PLACE_SQL}
