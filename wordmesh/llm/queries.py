@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmesh.llm import decontaminate, exact_dedup, langid, near_dedup, packing, records, sharding, substrings
+from wordmesh.llm import decontaminate, exact_dedup, langid, lm_scoring, near_dedup, packing, records, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_index(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_lm_score": op2_lm_score,
     "op3_records": op3_records,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
@@ -55,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op5_near_dedup": near_dedup.GROUPS_SQL, "op7_decontaminate": decontaminate.CONTAMINATED_SQL, "op9_repeats": substrings.REPEATS_SQL, "op10_sharding": sharding.PLACE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_lm_score": lm_scoring.SCORE_SQL, "op4_exact_dedup": exact_dedup.DUPLICATES_SQL, "op5_near_dedup": near_dedup.GROUPS_SQL, "op7_decontaminate": decontaminate.CONTAMINATED_SQL, "op9_repeats": substrings.REPEATS_SQL, "op10_sharding": sharding.PLACE_SQL}
