@@ -1,10 +1,516 @@
-"""The registered queries of the engine and the SQL that checks them."""
+"""The registered queries of the engine and the SQL that checks them. Every query runs over whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wordmesh.config import GraphOptions
+from wordmesh.functions import features, hashing, text, vectors
+from wordmesh.functions.storage import materialize, shared_dir
+from wordmesh.operators import graph, kv, lexicon
+from wordmesh.sources import dumps
+from wordmesh.sources.dumps import table
+
+DIMS = 512
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_TOKENS = f"(SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS label FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}') AS t FROM documents))"
+_LABELS = f"(SELECT DISTINCT label FROM {_TOKENS})"
+_ASCII = f"(SELECT label FROM {_LABELS} WHERE regexp_full_match(label, '[\\x01-\\x7f]+'))"
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, {units}), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+_UNITS = "list_transform(string_split({s}, ''), lambda c: unicode(c)::UHUGEINT)"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function by its name, with the SQL that must give the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tokens(spark: SparkSession, d: str, name: str = "documents", column: str = "text", *keys: str) -> DataFrame:
+    return text.tokens(table(spark, d, name), column, *keys)
+
+
+def _labels(spark: SparkSession, d: str, ascii_only: bool = False) -> DataFrame:
+    labels = _tokens(spark, d).select("label").distinct()
+    return labels.filter(F.col("label").rlike(r"^[\x01-\x7f]+$")) if ascii_only else labels
+
+
+# --- text ---
+
+
+@query(f"SELECT label, count(*) AS n FROM {_TOKENS} GROUP BY label")
+def tokenize_count(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, label FROM {_TOKENS}")
+def tokenize_posexplode(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d, "documents", "text", "doc_id")
+
+
+@query(f"SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '{text.SQL_BLANK}', ' ', 'g'), '\\p{{Sm}}')) AS label FROM pages) GROUP BY label")
+def math_symbol_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d, "pages", "html").filter(text.is_math(F.col("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CASE WHEN length(label) <= 4 THEN 'len:' || length(label) WHEN length(label) <= 8 THEN 'len:5-8' WHEN length(label) <= 16 THEN 'len:9-16' ELSE 'len:17+' END AS bucket, count(*) AS n FROM {_LABELS} GROUP BY 1")
+def token_len_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).groupBy(text.length_bucket(F.col("label")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT label, concat_ws('+', CASE WHEN lower(label) = label THEN 'lower' ELSE 'mixed' END, CASE WHEN upper(label) = label THEN 'upper' END,
+CASE WHEN regexp_matches(label, '^[A-Z]') THEN 'title' END) AS class FROM {_ASCII}""")
+def token_case_class(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d, True).select("label", text.case_class(F.col("label")).alias("class"))
+
+
+@query(f"SELECT label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '[^a-zA-Z]', chr(1), 'g'), '[aeiouyAEIOUY]', chr(2), 'g'), '[a-zA-Z]', 'C', 'g'), chr(1), 'X', 'g').replace(chr(2), 'V') AS pattern FROM {_ASCII}")
+def vc_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d, True).select("label", text.vowel_pattern(F.col("label")).alias("pattern"))
+
+
+_KINDS = {"letter": r"\p{L}", "number": r"\p{N}", "symbol": r"[\p{Sc}\p{Sk}\p{So}]", "math": r"\p{Sm}", "mark": r"\p{M}", "punctuation": r"\p{P}"}
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS n FROM documents" for k, p in _KINDS.items()) + ")")
+def char_category_hist(spark: SparkSession, d: str) -> DataFrame:
+    counts = [F.sum(F.regexp_count("text", F.lit(p))).alias(k) for k, p in _KINDS.items()]
+    wide = table(spark, d, "documents").agg(*counts)
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in _KINDS])).alias("r")).select("r.kind", "r.n")
+
+
+@query("SELECT 0 AS first, min(unicode(c)) AS least, max(unicode(c)) AS most FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE unicode(c) BETWEEN 0 AND 65535")
+def unicode_range(spark: SparkSession, d: str) -> DataFrame:
+    return text.unicode_range(table(spark, d, "documents"))
+
+
+# --- hashes ---
+
+
+@query(f"SELECT label, CAST({_FNV.format(units=_UNITS.format(s='label'))} % {DIMS} AS BIGINT) AS bucket FROM {_LABELS}")
+def fnv_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).select("label", hashing.fnv_bucket(hashing.code_units(F.col("label")), DIMS).alias("bucket"))
+
+
+def _gram_buckets(labels: DataFrame, columns: Callable, prefix: str = "") -> DataFrame:
+    u = hashing.code_units(F.col("label"))
+    grams = labels.withColumn("u", u).select(F.explode(columns(F.col("u"))).alias("g"))
+    start = hashing.bucket(prefix, DIMS) if prefix else 0
+    return grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")).groupBy(((hashing.fnv_bucket(F.col("g"), DIMS) + start) % DIMS).alias("bucket")).agg(F.sum("c").alias("n"))
+
+
+def _gram_sql(grams: str, prefix: str = "") -> str:
+    start = hashing.bucket(prefix, DIMS) if prefix else 0
+    g = f"(SELECT unnest({grams}) AS g FROM (SELECT {_UNITS.format(s='label')} AS u FROM {_LABELS}))"
+    return f"SELECT (CAST({_FNV.format(units='g')} % {DIMS} AS BIGINT) + {start}) % {DIMS} AS bucket, CAST(sum(c) AS BIGINT) AS n FROM (SELECT g, count(*) AS c FROM {g} GROUP BY g) GROUP BY 1"
+
+
+@query(_gram_sql("list_transform(range(1, greatest(1, len(u) - 1)), lambda i: u[i:i+2])"))
+def fnv_ngram_buckets(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda u: F.filter(F.transform(u, lambda _, i: F.slice(u, i + 1, 3)), lambda g: F.size(g) == 3)
+    return _gram_buckets(_labels(spark, d), at)
+
+
+@query(_gram_sql("list_transform(range(1, greatest(1, len(u))), lambda i: [u[i], u[i+1], ((i-1) % 256)::UHUGEINT, ((i-1) // 256)::UHUGEINT])", "bg:"))
+def pos_bigram_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _gram_buckets(_labels(spark, d), _positional(1), "bg:")
+
+
+@query(_gram_sql("list_transform(range(1, greatest(1, len(u) - 1)), lambda i: [u[i], u[i+2], ((i-1) % 256)::UHUGEINT, ((i-1) // 256)::UHUGEINT])", "sg1:"))
+def skipgram_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _gram_buckets(_labels(spark, d), _positional(2), "sg1:")
+
+
+def _positional(gap: int) -> Callable:
+    def grams(u: F.Column) -> F.Column:
+        pairs = F.arrays_zip(F.slice(u, 1, F.greatest(F.size(u) - gap, F.lit(0))).alias("a"), F.slice(u, gap + 1, F.greatest(F.size(u), F.lit(1))).alias("b"))
+        return F.transform(pairs, lambda p, i: F.array(p["a"], p["b"], F.pmod(i, F.lit(256)).cast("bigint"), F.floor(i / 256).cast("bigint")))
+
+    return grams
+
+
+@query(f"SELECT label, regexp_full_match(label, '[0-9]+([eE][0-9]+)?') OR lower(label) IN ('infinity', 'nan') AS number FROM {_LABELS}")
+def is_number_token(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).select("label", text.is_number(F.col("label")).alias("number"))
+
+
+@query(f"""SELECT label, number, CASE WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?') THEN CAST(label AS DOUBLE) <= 180
+WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?[nsNS]') THEN CAST(left(label, length(label) - 1) AS DOUBLE) <= 90
+WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?[ewEW]') THEN CAST(left(label, length(label) - 1) AS DOUBLE) <= 180 ELSE false END AS geo
+FROM (SELECT label, regexp_full_match(label, '[0-9]+([eE][0-9]+)?') OR lower(label) IN ('infinity', 'nan') AS number FROM {_LABELS})""")
+def is_geo_token(spark: SparkSession, d: str) -> DataFrame:
+    return features.geo_flags(_labels(spark, d))
+
+
+# --- word vectors ---
+
+_PART_WORDS = f"(SELECT DISTINCT unnest(regexp_extract_all(p_name, '{text.SQL_WORDS}')) AS label FROM part)"
+
+
+@query()
+def token_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return features.vectors(_tokens(spark, d, "part", "p_name"), "label", DIMS)
+
+
+@query(f"SELECT label, 1.0::DOUBLE AS norm FROM {_LABELS}")
+def token_vector_norm(spark: SparkSession, d: str) -> DataFrame:
+    return features.vectors(_tokens(spark, d), "label", DIMS).select("label", F.round(vectors.norm(F.col("vector.values")), 9).alias("norm"))
+
+
+@query(f"SELECT label, {DIMS} AS size, true AS same FROM {_PART_WORDS}")
+def vector_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    coded = token_vectors(spark, d).withColumn("back", vectors.decode_column(vectors.encode_column(F.col("vector")), DIMS))
+    return coded.select("label", "back.size", (F.col("back") == F.col("vector")).alias("same"))
+
+
+@query()
+def compare_first_last(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.compare(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn", left="role", right="text", dims=DIMS)
+
+
+@query()
+def compare_unit(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.compare_unit(table(spark, d, "conversations"), "conv_id", "turn", dims=DIMS)
+
+
+@query()
+def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.document_vectors(table(spark, d, "pages"), "page_id", "url", DIMS)
+
+
+# --- dense vectors ---
+
+_PAIRS = "(SELECT a.vec_id AS a, b.vec_id AS b, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("v").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("v").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1)
+
+
+@query(f"SELECT a, b, round(list_cosine_similarity(x, y), 6) AS cosine FROM {_PAIRS}")
+def cos_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query(f"SELECT a, b, round(list_dot_product(x, y), 6) AS dot, round(sqrt(list_dot_product(x, x)), 6) AS norm, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 6) AS manhattan, round(list_distance(x, y), 6) AS euclidean FROM {_PAIRS}")
+def pair_distances(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    return _pairs(spark, d).select("a", "b", *[F.round(v, 6).alias(n) for n, v in (("dot", vectors.dot(x, y)), ("norm", vectors.norm(x)), ("manhattan", vectors.manhattan(x, y)), ("euclidean", vectors.euclidean(x, y)))])
+
+
+_SIGNATURE = """(SELECT *, greatest(least(dot / (norm_a * norm_b), 1), -1) AS cosine, acos(greatest(least(dot / (norm_a * norm_b), 1), -1)) AS angle, dot / norm_b AS projection, overlap / total AS jaccard FROM
+(SELECT vec_id, len(x) AS dims, list_dot_product(x, u) AS dot, sqrt(list_dot_product(x, x)) AS norm_a, sqrt(list_dot_product(u, u)) AS norm_b, list_distance(x, u) AS euclidean,
+list_sum(list_transform(x, lambda v: abs(v - u[1]))) AS manhattan, CAST(len(list_filter(x, lambda v: v <> 0)) AS DOUBLE) AS overlap, CAST(len(x) AS DOUBLE) AS total
+FROM (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding, lambda v: 1 / sqrt(len(embedding))::DOUBLE) AS u FROM embeddings)))"""
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("x"))
+    unit = F.transform("x", lambda _: F.lit(1.0) / F.sqrt(F.size("x")))
+    return e.withColumn("u", unit).select("vec_id", F.size("x").alias("dims"), vectors.signature(F.col("x"), F.col("u")).alias("s"))
+
+
+@query("SELECT vec_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in vectors.METRICS) + f" FROM {_SIGNATURE}")
+def signature10(spark: SparkSession, d: str) -> DataFrame:
+    return _signatures(spark, d).select("vec_id", *[F.round(f"s.{m}", 6).alias(m) for m in vectors.METRICS])
+
+
+@query(f"SELECT vec_id, round(({' + '.join(vectors.METRICS)}) / (sqrt(dims) * sqrt({' + '.join(f'{m} * {m}' for m in vectors.METRICS)})), 6) AS angle_key FROM {_SIGNATURE}")
+def angle_key(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.col(f"s.{m}") for m in vectors.METRICS]
+    total, squares = sum(parts[1:], parts[0]), sum((p * p for p in parts[1:]), parts[0] * parts[0])
+    return _signatures(spark, d).select("vec_id", F.round(F.try_divide(total, F.sqrt("dims") * F.sqrt(squares)), 6).alias("angle_key"))
+
+
+_LONG = "(SELECT vec_id, label, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS val FROM embeddings)"
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", F.posexplode(vectors.dense(F.col("embedding"))).alias("idx", "val"))
+
+
+@query(f"SELECT label, CAST(idx AS INTEGER) AS idx, round(sum(val), 4) AS val FROM {_LONG} GROUP BY label, idx")
+def vector_sum_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.vector_sum(_long(spark, d), "label").withColumn("val", F.round("val", 4))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda v: round(v::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
+def normalize_vec(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.normalize(F.col("embedding")), lambda v: F.round(v, 6)).alias("unit"))
+
+
+@query(f"""WITH c AS (SELECT label, idx, sum(val) AS c FROM {_LONG} GROUP BY label, idx)
+SELECT l.vec_id, round(sum(l.val * c.c) / (sqrt(sum(l.val * l.val)) * sqrt(sum(c.c * c.c))), 6) AS score FROM {_LONG} l JOIN c USING (label, idx) GROUP BY l.vec_id""")
+def centroid_cos(spark: SparkSession, d: str) -> DataFrame:
+    rows = _long(spark, d)
+    sums = vectors.vector_sum(rows, "label").withColumnRenamed("val", "c")
+    score = F.try_divide(F.sum(F.col("val") * F.col("c")), F.sqrt(F.sum(F.col("val") * F.col("val"))) * F.sqrt(F.sum(F.col("c") * F.col("c"))))
+    return rows.join(sums, ["label", "idx"]).groupBy("vec_id").agg(F.round(score, 6).alias("score"))
+
+
+@query(f"WITH c AS (SELECT doc_id, label, count(*) AS n FROM {_TOKENS} GROUP BY 1, 2) SELECT a.doc_id AS a, b.doc_id AS b, CAST(sum(a.n * b.n) AS BIGINT) AS dot FROM c a JOIN c b ON b.doc_id = a.doc_id + 1 AND a.label = b.label GROUP BY 1, 2")
+def sparse_dot_join(spark: SparkSession, d: str) -> DataFrame:
+    c = _tokens(spark, d, "documents", "text", "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    b = c.select((F.col("doc_id") - 1).alias("doc_id"), "label", F.col("n").alias("m"))
+    return c.join(b, ["doc_id", "label"]).groupBy(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+
+
+def _top_sql(k: int) -> str:
+    return f"""SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= {k}"""
+
+
+def _top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    found = graph.dense_top_k(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), k)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_top_sql(1))
+def exhaustive_top1(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, 1)
+
+
+@query(_top_sql(10))
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, 10)
+
+
+@query(f"SELECT a, b, abs(list_cosine_similarity(x, y) - 0.5) < 0.25 AS near FROM {_PAIRS}")
+def approx_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", vectors.approximates(vectors.cosine(F.col("x"), F.col("y")), F.lit(0.5), 0.25).alias("near"))
+
+
+# --- key/value columns ---
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").cast("binary").alias("value"))
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").filter("c_acctbal < 0")
+    return c.select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("c_name").cast("binary").alias("value"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("value"))
+
+
+_OLD = "(SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0)"
+
+
+@query(f"SELECT key, seq, value FROM (SELECT o_custkey AS key, o_orderkey AS seq, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) AS n FROM orders) WHERE n = 1 AND key NOT IN {_OLD}")
+def kv_try_put(spark: SparkSession, d: str) -> DataFrame:
+    return kv.try_put(_customers(spark, d), _orders(spark, d)).withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"SELECT key, seq, n = 1 AND key NOT IN {_OLD} AS inserted FROM (SELECT o_custkey AS key, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) AS n FROM orders)")
+def kv_try_put_flags(spark: SparkSession, d: str) -> DataFrame:
+    return kv.try_put_flags(_customers(spark, d), _orders(spark, d))
+
+
+@query("""SELECT key, list(value ORDER BY late, seq, value) AS values FROM (SELECT c_custkey AS key, 0 AS late, 0 AS seq, c_name AS value FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderpriority FROM orders) GROUP BY key""")
+def kv_put_or_append(spark: SparkSession, d: str) -> DataFrame:
+    out = kv.put_or_append(_customers(spark, d), _orders(spark, d))
+    return out.select("key", F.transform("values", lambda v: v.cast("string")).alias("values"))
+
+
+@query("SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS value FROM events GROUP BY 1")
+def kv_page_append(spark: SparkSession, d: str) -> DataFrame:
+    return kv.page_append(_events(spark, d)).withColumn("value", F.col("value").cast("string"))
+
+
+_ASKED = "(SELECT c_custkey AS key FROM customer)"
+
+
+@query(f"SELECT k.key, coalesce(string_agg(event_type, '' ORDER BY event_id), '') AS value FROM {_ASKED} k LEFT JOIN events ON user_id = k.key GROUP BY 1")
+def kv_get(spark: SparkSession, d: str) -> DataFrame:
+    return kv.get(_events(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("key"))).withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"SELECT k.key, string_agg(event_type, '' ORDER BY event_id) AS value, CAST(count(event_id) AS INTEGER) AS count FROM {_ASKED} k LEFT JOIN events ON user_id = k.key GROUP BY 1")
+def kv_get_many(spark: SparkSession, d: str) -> DataFrame:
+    return kv.get_many(_events(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("key"))).withColumn("value", F.col("value").cast("string"))
+
+
+_PROBES = "(SELECT DISTINCT c_custkey * 3 - 1 AS key FROM customer)"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT o_custkey AS key FROM orders), r AS (SELECT p.key, count(k.key) AS below FROM {_PROBES} p LEFT JOIN k ON k.key < p.key GROUP BY p.key)
+SELECT key, CASE WHEN key IN (SELECT key FROM k) THEN below ELSE -below - 1 END AS index FROM r""")
+def kv_index_of(spark: SparkSession, d: str) -> DataFrame:
+    return kv.index_of(_orders(spark, d), table(spark, d, "customer").select((F.col("c_custkey") * 3 - 1).alias("key")))
+
+
+@query("SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM (SELECT DISTINCT o_custkey AS key FROM orders)")
+def kv_sorted_keys(spark: SparkSession, d: str) -> DataFrame:
+    return kv.ranked_keys(_orders(spark, d))
+
+
+def _keys(spark: SparkSession, d: str, name: str, column: str) -> DataFrame:
+    return table(spark, d, name).select(F.col(column).cast("bigint").alias("key"))
+
+
+@query("SELECT c_custkey AS key FROM customer UNION SELECT s_suppkey FROM supplier UNION SELECT o_custkey FROM orders")
+def kv_union(spark: SparkSession, d: str) -> DataFrame:
+    return kv.union(kv.union(_keys(spark, d, "customer", "c_custkey"), _keys(spark, d, "supplier", "s_suppkey")), _orders(spark, d))
+
+
+@query("SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders")
+def kv_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return kv.intersect(_keys(spark, d, "customer", "c_custkey"), _orders(spark, d))
+
+
+@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+def kv_except(spark: SparkSession, d: str) -> DataFrame:
+    return kv.difference(_keys(spark, d, "customer", "c_custkey"), _orders(spark, d))
+
+
+@query("""SELECT key, l AS left_values, r AS right_values FROM (SELECT c_custkey AS key, list(c_name) AS l FROM customer WHERE c_acctbal < 0 GROUP BY 1)
+JOIN (SELECT o_custkey AS key, list(o_orderpriority ORDER BY o_orderkey, o_orderpriority) AS r FROM orders GROUP BY 1) USING (key)""")
+def kv_join(spark: SparkSession, d: str) -> DataFrame:
+    strings = lambda c: F.transform(c, lambda v: v.cast("string")).alias(c)
+    return kv.join(_customers(spark, d), _orders(spark, d)).select("key", strings("left_values"), strings("right_values"))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def kv_key_exists(spark: SparkSession, d: str) -> DataFrame:
+    return _keys(spark, d, "customer", "c_custkey").join(_orders(spark, d).select("key").distinct(), "key", "left_semi")
+
+
+@query("SELECT o_custkey AS key, count(*) AS n, string_agg(o_orderpriority, '' ORDER BY o_orderkey, o_orderpriority) AS value FROM orders GROUP BY 1")
+def kv_store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Two puts into a stored column, then a read of all keys."""
+    store = kv.ColumnStore(spark, f"{shared_dir(spark)}/wordmesh/columns")
+    name = "orders of " + d
+    store.truncate(name)
+    rows = _orders(spark, d)
+    first = kv.first_of_key(rows)
+    store.try_put(name, first)
+    store.put_or_append(name, rows.join(first, ["key", "seq"], "left_anti"))
+    column = store.read(name)
+    return kv.get_many(column, column.select("key").distinct()).select("key", F.col("count").cast("bigint").alias("n"), F.col("value").cast("string").alias("value"))
+
+
+# --- lexicons ---
+
+
+@query()
+def lexicon_build(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.build(table(spark, d, "documents"))
+
+
+@query()
+def lexicon_validate(spark: SparkSession, d: str) -> DataFrame:
+    stored = materialize(lexicon.build(table(spark, d, "conversations"), "conv_id"), "lexicon")
+    return lexicon.validate_docs(table(spark, d, "documents"), stored)
+
+
+@query(f"WITH c AS (SELECT conv_id, count(*) AS tokens FROM (SELECT conv_id, unnest(regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}')) AS label FROM conversations) GROUP BY 1) SELECT conv_id AS doc_id, tokens, 0::BIGINT AS missing FROM c")
+def lexicon_validate_own(spark: SparkSession, d: str) -> DataFrame:
+    """A lexicon holds every word of what it was built from."""
+    docs = table(spark, d, "conversations")
+    return lexicon.validate_docs(docs, materialize(lexicon.build(docs, "conv_id"), "lexicon"), "conv_id").select("doc_id", "tokens", "missing")
+
+
+@query(f"SELECT label FROM {_LABELS} WHERE label NOT IN (SELECT unnest(regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}')) FROM conversations)")
+def lexicon_missing(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).join(_tokens(spark, d, "conversations").select("label").distinct(), "label", "left_anti")
+
+
+@query()
+def lexicon_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.missing_angles(lexicon.build(table(spark, d, "conversations"), "conv_id"), lexicon.sample_angles(spark, 32))
+
+
+@query()
+def synthetic_words(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.synthesize(spark, 64)
+
+
+# --- vocabulary and graph ---
+
+
+@query("SELECT word, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS INTEGER) AS index FROM (SELECT event_type AS word, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def vocab_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return text.vocabulary(table(spark, d, "events"), "event_type", "ts", "event_id")
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return e.select("user_id", F.array_join(F.transform("e", lambda x: x["event_type"]), ";").alias("sentence"))
+
+
+def _bags(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bag_of_words(_sentences(spark, d), vocab_first_seen(spark, d), "user_id")
+
+
+@query("""WITH v AS (SELECT word, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM (SELECT event_type AS word, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1),
+c AS (SELECT user_id, i, count(*) AS n FROM events JOIN v ON event_type = word GROUP BY 1, 2) SELECT user_id, CAST(i AS INTEGER) AS index, CAST(n AS INTEGER) AS n FROM c""")
+def bag_of_words(spark: SparkSession, d: str) -> DataFrame:
+    bags = _bags(spark, d)
+    return bags.select("user_id", F.explode(F.arrays_zip("indices", "values")).alias("p")).select("user_id", F.col("p.indices").alias("index"), F.col("p.values").cast("int").alias("n"))
+
+
+@query()
+def graph_build(spark: SparkSession, d: str) -> DataFrame:
+    return graph.build(_bags(spark, d), "user_id")
+
+
+@query()
+def graph_forest(spark: SparkSession, d: str) -> DataFrame:
+    """One tree for each of 16 hash groups of users."""
+    return graph.build(_bags(spark, d).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(16))), "user_id", "part")
+
+
+@query()
+def graph_descend(spark: SparkSession, d: str) -> DataFrame:
+    bags = materialize(_bags(spark, d), "bags")
+    return graph.search(materialize(graph.build(bags, "user_id"), "nodes"), bags, "user_id")
+
+
+@query()
+def graph_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    bags = materialize(_bags(spark, d), "bags")
+    return graph.exhaustive(materialize(graph.build(bags, "user_id"), "nodes"), bags, "user_id")
+
+
+@query()
+def graph_validate(spark: SparkSession, d: str) -> DataFrame:
+    return graph.validate(graph_descend(spark, d), "user_id", GraphOptions())
+
+
+@query()
+def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wordmesh/graph-{uuid.uuid4().hex}"
+    graph.save(graph_forest(spark, d), path, 16)
+    return graph.load(spark, path)
+
+
+# --- sources ---
+
+
+@query("SELECT 'd' || doc_id AS title, text, 'https://en.wikipedia.org/wiki/d' || doc_id AS url FROM documents WHERE text IS NOT NULL")
+def dump_read(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the documents as a gzipped dump and reads them back."""
+    path = f"{shared_dir(spark)}/wordmesh/dump-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("title"), "text")).alias("value"))
+    head = spark.createDataFrame([("[",)], "value string")
+    head.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value").write.option("compression", "gzip").text(path)
+    return dumps.read(spark, path, ["title", "text", "url"]).drop("line")
