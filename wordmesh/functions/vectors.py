@@ -67,7 +67,7 @@ def signature(a: Column, b: Column) -> Column:
     The cosine is 0 where a norm or the product is 0, and clamped to [-1, 1].
     """
     d, na, nb = dot(a, b), norm(a), norm(b)
-    cos = F.coalesce(F.greatest(F.least(F.try_divide(d, na * nb), F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    cos = F.greatest(F.least(F.coalesce(F.try_divide(d, na * nb), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
     both = F.zip_with(dense(a), dense(b), lambda x, y: F.struct((x != 0).alias("x"), (y != 0).alias("y")))
     overlap = F.size(F.filter(both, lambda z: z["x"] & z["y"])).cast("double")
     union = F.size(F.filter(both, lambda z: z["x"] | z["y"])).cast("double")
@@ -93,7 +93,7 @@ def angle_key(vector: Column) -> Column:
     s, nnz = _sum(values), F.size(values).cast("double")
     na = F.sqrt(_sum(F.transform(values, lambda v: v * v)))
     d = s * u
-    cos = F.coalesce(F.greatest(F.least(F.try_divide(d, na), F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    cos = F.greatest(F.least(F.coalesce(F.try_divide(d, na), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
     euclid = F.sqrt(F.greatest(na * na + 1 - 2 * d, F.lit(0.0)))
     manhattan_ = _sum(F.transform(values, lambda v: F.abs(v - u))) + (dims - nnz) * u
     parts = [cos, F.acos(cos), d, na, F.lit(1.0), euclid, manhattan_, d, nnz, nnz / dims]
