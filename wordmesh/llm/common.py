@@ -6,35 +6,19 @@ own private columns and never on the caller's, so extra columns with clashing na
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
+from wordmesh.functions.storage import materialize, shared_dir
 
-    Only a local session without that setting gets a temporary folder, which is set as its checkpoint folder too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="wordmesh-")
-        atexit.register(shutil.rmtree, named[len("file://") :], True)
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["materialize", "mix", "ranges", "row_label", "scratch", "shared_dir", "slices"]
+SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,13 +26,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wordmesh/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts its lineage so that lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_label(text: str) -> Column:
     """Tells rows that carry one identifier apart; equal rows share it."""
     return F.xxhash64(F.col(text))

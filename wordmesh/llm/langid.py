@@ -27,7 +27,7 @@ PER_LANGUAGE = 400
 MOST_TRAINING_BYTES = 1 << 16
 ORDERS = (2, 3, 4)
 HASH_BITS = 15
-MIN_MARGIN = 0.1
+MIN_MARGIN = 0.03
 BLOCK = 1 << 18
 
 
