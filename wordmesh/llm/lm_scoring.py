@@ -2,21 +2,20 @@
 
 The n-grams of all documents, with their counts, are exploded and partitioned by hash; each partition sums its count
 table and joins it to the n-grams that asked; the answers go back and are summed per document. Documents are taken in batches
-of about a million words, and rows of these relations are packed: one row holds the distinct n-grams of a batch
+of some 640,000 words, and rows of these relations are packed: one row holds the distinct n-grams of a batch
 that fall in one hash bucket, sorted, as byte planes of their differences (about 5 bytes an n-gram). A document doesn't
 vouch for itself: its own counts are taken off before it is scored, so a backoff happens where other documents lack the n-gram.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmesh.llm.common import materialize, mix, ranges, slices
@@ -25,7 +24,7 @@ from wordmesh.llm.words import word_hashes
 ORDER = 3
 ALPHA = 0.4
 BATCH_WORDS = 1_000_000
-BUCKET_GRAMS = 4_000_000
+BUCKET_GRAMS = 2_000_000
 BITS = 48
 _BATCHES = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("vocab", pa.binary()), ("tokens", pa.binary())])
 _BATCHES_SQL = "batch bigint, ids array<bigint>, lengths array<int>, vocab binary, tokens binary"
@@ -71,27 +70,22 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-class _Batch:
-    """One packed row, opened: for each order the distinct n-grams, and which of them stands where."""
-
-    def __init__(self, row: dict, order: int, bits: int):
-        self.ids, self.n = row["ids"], np.asarray(row["lengths"], dtype=np.int64)
-        words = np.cumsum(unplanes(row["vocab"], 8))[unplanes(row["tokens"], 3).astype(np.int64)]
-        self.at, self.doc = ranges(self.n), np.repeat(np.arange(len(self.n)), self.n)
-        self.grams: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []  # for each word the number of the n-gram that ends there; -1 at a document's first words
-        h = np.zeros(len(words), np.uint64)
-        for k in range(1, order + 1):
-            first = np.concatenate([np.zeros(min(1, len(h)), np.uint64), h[:-1]])
-            h = mix(first * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k)) if k > 1 else mix(words)
-            ends = self.at >= k - 1
-            grams, inverse, count = np.unique(h[ends] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-            place = np.full(len(words), -1, np.int64)
-            place[ends] = inverse
-            self.grams.append(grams)
-            self.count.append(count)
-            self.place.append(place)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One packed row at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _grams(row: dict, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, 2, ... the hash of the n-gram that ends at each word, and whether there is one in the document."""
+    words = np.cumsum(unplanes(row["vocab"], 8))[unplanes(row["tokens"], 3).astype(np.int64)]
+    at = ranges(np.asarray(row["lengths"], dtype=np.int64)).astype(np.int32)
+    h = mix(words)
+    for k in range(1, order + 1):
+        if k > 1:
+            h[1:] = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(k))
+        yield h >> np.uint64(64 - bits), at >= k - 1
 
 
 def _ask(order: int, n_buckets: int):
@@ -100,18 +94,17 @@ def _ask(order: int, n_buckets: int):
     names = ["bucket", "gram_order", "batch", "grams", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                x = _Batch(row, order, bits)
-                for k, (grams, count) in enumerate(zip(x.grams, x.count)):
-                    bounds = np.searchsorted(grams >> np.uint64(BITS), np.arange(n_buckets + 1))
-                    some = np.flatnonzero(np.diff(bounds)).tolist()
-                    low = grams & np.uint64((1 << BITS) - 1)
-                    parts = [(low[bounds[i] : bounds[i + 1]], count[bounds[i] : bounds[i + 1]]) for i in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array([k + 1] * len(some), pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([planes(_deltas(g), BITS // 8) for g, _ in parts], pa.binary()), pa.array([planes(c.astype(np.uint64), 4) for _, c in parts], pa.binary())],
-                        names=names,
-                    )
+        for row in _rows(batches):
+            for k, (h, there) in enumerate(_grams(row, order, bits)):
+                grams, count = np.unique(h[there], return_counts=True)
+                bounds = np.searchsorted(grams >> np.uint64(BITS), np.arange(n_buckets + 1))
+                some = np.flatnonzero(np.diff(bounds)).tolist()
+                grams &= np.uint64((1 << BITS) - 1)
+                parts = [(bounds[i], bounds[i + 1]) for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([k + 1] * len(some), pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([planes(_deltas(grams[a:z]), BITS // 8) for a, z in parts], pa.binary()), pa.array([planes(count[a:z], 4) for a, z in parts], pa.binary())],
+                    names=names,
+                )
 
     return run
 
@@ -131,35 +124,41 @@ def _score(order: int, n_buckets: int, total: int, alpha: float):
     bits = BITS + int(math.log2(n_buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                x = _Batch(row, order, bits)
-                left = []  # for each order and word: the count of the n-gram that ends there in other documents
-                for k in range(order):
-                    parts = sorted((a["bucket"], a["others"]) for a in row["answers"] if a["gram_order"] == k + 1)
-                    counts = x.count[k] + (np.concatenate([unplanes(p, 5) for _, p in parts]).astype(np.int64) if parts else 0)
-                    there = x.place[k] >= 0
-                    pair = x.doc[there] * (len(counts) + 1) + x.place[k][there]
-                    _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-                    c = np.zeros(len(x.doc), np.int64)
-                    c[there] = counts[x.place[k][there]] - own[inverse]
-                    left.append(c)
-                others = np.maximum(total - x.n, 1)[x.doc]
-                score = np.log(np.maximum(left[0], 0.5) / others) + np.minimum(x.at, order - 1) * math.log(alpha)
-                for k in range(1, order):
-                    before = np.concatenate([np.zeros(min(1, len(score)), np.int64), left[k - 1][:-1]])
-                    hit = left[k] > 0
-                    score[hit] = np.log(left[k][hit] / before[hit]) + np.minimum(x.at[hit], order - 1) * math.log(alpha) - k * math.log(alpha)
-                sums = np.bincount(x.doc, weights=score, minlength=len(x.n))
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids, pa.int64()), pa.array(x.n, pa.int32()), pa.array(sums, mask=x.n == 0)], schema=_SCORES)
+        for row in _rows(batches):
+            n = np.asarray(row["lengths"], dtype=np.int64)
+            doc, at = np.repeat(np.arange(len(n), dtype=np.int32), n), ranges(n).astype(np.int32)
+            score, before = np.zeros(len(doc)), None
+            for k, (h, there) in enumerate(_grams(row, order, bits)):
+                parts = sorted((a["bucket"], a["others"]) for a in row["answers"] if a["gram_order"] == k + 1)
+                left = np.zeros(len(doc), np.int64)  # for each word the count of the n-gram that ends there in other documents
+                left[there] = _left_out(h[there], doc[there], np.concatenate([unplanes(p, 5) for _, p in parts]) if parts else None)
+                dropped = np.minimum(at, order - 1) - k
+                if k == 0:
+                    score = np.log(np.maximum(left, 0.5) / np.maximum(total - n, 1)[doc]) + dropped * math.log(alpha)
+                else:
+                    hit = np.flatnonzero(left > 0)
+                    score[hit] = np.log(left[hit] / before[hit - 1]) + dropped[hit] * math.log(alpha)
+                before = left
+            sums = np.bincount(doc, weights=score, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(n, pa.int32()), pa.array(sums, mask=n == 0)], schema=_SCORES)
 
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _left_out(h: np.ndarray, doc: np.ndarray, others: np.ndarray | None) -> np.ndarray:
+    """Counts of n-grams in all documents but their own: those of other batches plus the batch's less the document's."""
+    if others is None:
+        return np.zeros(len(h), np.int64)
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    own = new.copy()
+    own[1:] |= doc[1:] != doc[:-1]
+    out = np.empty(len(h), np.int64)
+    sizes = [np.diff(np.append(np.flatnonzero(x), len(h))) for x in (new, own)]
+    out[order] = np.repeat(others.astype(np.int64) + sizes[0], sizes[0]) - np.repeat(sizes[1], sizes[1])
+    return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
@@ -170,15 +169,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     others lack it, over their number of words. A null or wordless text has 0 words and null scores; null identifiers
     stay null; repeated rows are documents of their own and vouch for each other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     packed = materialize(own.mapInArrow(_batches, _BATCHES_SQL), "batches")
     total = packed.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
     n_buckets = 1 << max(4, math.ceil(math.log2(max(1, total / bucket_grams))))
     asked = packed.select("batch", "ids", "lengths", "vocab", "tokens").mapInArrow(_ask(order, n_buckets), "bucket int, gram_order int, batch bigint, grams binary, counts binary")
     answers = materialize(asked.groupBy("bucket", "gram_order").applyInArrow(_answer, "batch bigint, gram_order int, bucket int, others binary"), "answers")
-    del asked
-    _release(spark)
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("gram_order", "bucket", "others")).alias("answers"))
     joined = packed.join(gathered, "batch", "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<struct<gram_order:int,bucket:int,others:binary>>")))
     scored = joined.mapInArrow(_score(order, n_buckets, total, alpha), "doc_id bigint, n_words int, log_score double")

@@ -11,7 +11,7 @@ from wordmesh.llm.common import mix
 
 WORD = re.compile(r"\w+")
 _known: dict[str, int] = {}
-_KNOWN_MOST = 400_000
+_KNOWN_MOST = 100_000
 
 
 def _hash(word: str) -> int:
