@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs that run inside; what was there before is put back."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
+    """Writes a table to the shared folder and reads it back; what the job shuffled is removed when it has ended."""
     path = f"{shared_dir(df.sparkSession)}/wordmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", True):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
