@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from wordmesh.functions.storage import materialize, shared_dir
+from wordmesh.functions.storage import materialize, setting, shared_dir
 
-__all__ = ["materialize", "mix", "ranges", "row_label", "scratch", "shared_dir", "slices"]
+__all__ = ["materialize", "mix", "ranges", "row_label", "scratch", "setting", "shared_dir", "slices"]
 SLICE_BYTES = 4 << 20
 
 

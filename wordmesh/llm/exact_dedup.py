@@ -5,8 +5,8 @@ names of a document are paired and the pairs sorted and named in the same way, l
 left. Two documents have equal names exactly if their texts are equal: no hash decides it. With k blocks in the
 longest text there are ceil(log2 k) levels, each over the few documents of several blocks that are left.
 
-Blocks are range-partitioned with the document as a further key, so a block with millions of copies spreads over
-tasks. A run of equal blocks may then cross partitions; what tasks report of their first and last block joins
+Blocks are range-partitioned by their first bytes and a hash, so that the sample that ranges are made from is small, and
+by document, so a block with millions of copies spreads over tasks; in a partition whole blocks are sorted and compared. A run of equal blocks may then cross partitions; what tasks report of their first and last block joins
 such runs again. That report has two rows a partition.
 """
 
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordmesh.llm.common import materialize, row_label
+from wordmesh.llm.common import materialize, row_label, setting
 
 BLOCK_BYTES = 4096
+HEAD_BYTES = 16
+ARROW_ROWS = 1000
 _ROWS = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("place", pa.int32()), ("run", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
 _SQL = "id bigint, label bigint, n bigint, part bigint, place int, run bigint, first binary, last binary"
 
@@ -50,8 +52,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _named(blocks: DataFrame, level: int) -> DataFrame:
     """(id, label, n, part, block) -> (id, label, n, part, name, times): equal blocks have equal names."""
     spark = blocks.sparkSession
-    ordered = blocks.repartitionByRange("block", "id", "label", "part").sortWithinPartitions("block")
-    found = materialize(ordered.mapInArrow(_runs, _SQL), f"names{level}")
+    head, rest = F.substring("block", 1, HEAD_BYTES), F.xxhash64("block")
+    ordered = blocks.repartitionByRange(head, rest, "id", "label", "part").sortWithinPartitions(head, rest, "block")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS):
+        found = materialize(ordered.mapInArrow(_runs, _SQL), f"names{level}")
     edges = found.filter(F.col("last").isNotNull())
     near = edges.select("place", "run", (F.col("first") == F.lag("last").over(W.orderBy("place"))).alias("goes_on"))
     remap, before = [], None
