@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmesh.functions.hashing import OFFSET, PRIME, ROLLING, bucket, units
 
-VECTOR = "struct<size:int,indices:array<int>,values:array<double>>"
 _CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Zs Zl Zp Cc Cf Cs Co Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Cn".split()
 _NUMBER = re.compile(r"[+-]?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _SPECIAL = {"infinity": float("inf"), "+infinity": float("inf"), "-infinity": float("-inf"), "nan": float("nan"), "+nan": float("nan"), "-nan": float("nan")}
@@ -166,22 +166,25 @@ def _same_length(labels: list[str], n: int, dims: int) -> list[tuple[np.ndarray,
     return out
 
 
-def vectors(labels: DataFrame, label: str = "label", dims: int = 512) -> DataFrame:
-    """(label, vector) of the distinct labels of a table."""
+def vectors(labels: DataFrame, label: str = "label", dims: int = 512, *keep: str) -> DataFrame:
+    """(label, vector) of the distinct labels of a table; with columns to keep, of each of its rows."""
     kind = pa.struct([("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    own = labels.select(F.col(label).alias("label"), *keep).filter("label is not null")
+    own = own if keep else own.distinct()
+    schema = T.StructType(own.schema.fields + [T.StructField("vector", T.StructType.fromDDL("size int, indices array<int>, values array<double>"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                names = b.column(0).slice(a, 4096)
-                found = featurize(names.to_pylist(), dims)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                b = batch.slice(a, 4096)
+                found = featurize(b.column(0).to_pylist(), dims)
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in found])]), pa.int32())
                 indices = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([i for i, _ in found]), pa.int32()))
                 values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([v for _, v in found])))
                 vector = pa.StructArray.from_arrays([pa.array([dims] * len(found), pa.int32()), indices, values], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([names, vector], names=["label", "vector"])
+                yield pa.RecordBatch.from_arrays([*b.columns, vector], names=[*b.schema.names, "vector"])
 
-    return labels.select(F.col(label).alias("label")).filter("label is not null").distinct().mapInArrow(run, f"label string, vector {VECTOR}")
+    return own.mapInArrow(run, schema)
 
 
 def geo_flags(labels: DataFrame, label: str = "label") -> DataFrame:

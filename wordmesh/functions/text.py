@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmesh.functions.ranking import ranked
+
 #: A math symbol alone, or a run of letters, numbers and symbols; all else, as all beyond the basic plane, separates.
 WORDS = r"(\p{Sm}|[\p{L}\p{Nd}\p{Nl}\p{No}\p{Sc}\p{Sk}\p{So}&&[^\x{10000}-\x{10FFFF}]]+)"
 #: The same for an engine without intersections of classes, on text whose characters beyond the basic plane were blanked.
@@ -60,11 +62,9 @@ def unicode_range(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(words: DataFrame, word: str, *order: str) -> DataFrame:
-    """(word, index): the words by first appearance in ``order``. Only the distinct words are numbered in one task."""
-    from pyspark.sql import Window as W
-
+    """(word, index): the words by first appearance in ``order``, ties by the word."""
     first = words.groupBy(F.col(word).alias("word")).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select("word", (F.row_number().over(W.orderBy("at", "word")) - 1).cast("int").alias("index"))
+    return ranked(first, "at", "word").select("word", F.col("__rank").cast("int").alias("index"))
 
 
 def vocabulary_tokens(sentences: DataFrame, words: DataFrame, sentence: str = "sentence", *keys: str) -> DataFrame:

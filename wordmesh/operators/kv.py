@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from wordmesh.config import ColumnOptions
 from wordmesh.functions.hashing import name_hash
+from wordmesh.functions.ranking import ranked
+from wordmesh.functions.storage import materialize
 
 
 class PageFull(Exception):
@@ -73,12 +75,8 @@ def sorted_keys(column: DataFrame) -> DataFrame:
 
 
 def ranked_keys(column: DataFrame) -> DataFrame:
-    """(key, rank) over all distinct keys, in the order of keys, without one task that sees them all."""
-    keys = column.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
-    keys = keys.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy("key")))
-    before = keys.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = before.select("part", (F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("before"))
-    return keys.join(F.broadcast(before), "part").select("key", (F.col("before") + F.col("n") - 1).alias("rank"))
+    """(key, rank) over all distinct keys, in the order of keys."""
+    return ranked(column.select("key").distinct(), "key").select("key", F.col("__rank").alias("rank"))
 
 
 def index_of(column: DataFrame, probes: DataFrame) -> DataFrame:
@@ -89,15 +87,13 @@ def index_of(column: DataFrame, probes: DataFrame) -> DataFrame:
     keys = column.select("key").distinct().withColumn("own", F.lit(1))
     both = keys.unionByName(probes.select("key").distinct().withColumn("own", F.lit(0)))
     both = both.repartitionByRange("key").sortWithinPartitions("key", "own").withColumn("part", F.spark_partition_id())
-    from wordmesh.functions.storage import materialize
-
     both = materialize(both, "ranks")
     below = F.coalesce(F.sum("own").over(W.partitionBy("part").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow)), F.lit(0))
-    ranked = both.withColumns({"upto": below, "has": F.max("own").over(W.partitionBy("part", "key"))})
+    counted = both.withColumns({"upto": below, "has": F.max("own").over(W.partitionBy("part", "key"))})
     sizes = both.groupBy("part").agg(F.sum("own").alias("size"))
     sizes = sizes.select("part", (F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("before"))
     place = F.col("before") + F.col("upto")
-    found = ranked.filter("own = 0").join(F.broadcast(sizes), "part").select("key", F.when(F.col("has") == 1, place - 1).otherwise(-place - 1).alias("index"))
+    found = counted.filter("own = 0").join(F.broadcast(sizes), "part").select("key", F.when(F.col("has") == 1, place - 1).otherwise(-place - 1).alias("index"))
     return probes.select("key").join(found, "key")
 
 
@@ -153,16 +149,12 @@ class ColumnStore:
 
     def try_put(self, name: str, rows: DataFrame) -> int:
         """Adds the rows of keys that the column lacks, and returns how many."""
-        from wordmesh.functions.storage import materialize
-
         new = materialize(try_put(self._stored(name, rows), self._checked(rows)).sortWithinPartitions("key"), "put")
         new.write.mode("append").parquet(self.path(name))
         return new.count()
 
     def put_or_append(self, name: str, rows: DataFrame) -> None:
         """Adds all rows; those of known keys are numbered behind what is there."""
-        from wordmesh.functions.storage import materialize
-
         old = self._stored(name, rows).groupBy("key").agg((F.max("seq") + 1).alias("after"))
         n = F.row_number().over(W.partitionBy("key").orderBy("seq", "value")) - 1
         new = self._checked(rows).withColumn("n", n).join(old, "key", "left").select("key", (F.coalesce("after", F.lit(0)) + F.col("n")).cast("bigint").alias("seq"), "value")

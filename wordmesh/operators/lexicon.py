@@ -12,9 +12,10 @@ from wordmesh.config import AnalyzerOptions
 from wordmesh.functions import features, text, vectors
 
 
-def keyed_labels(tokens: DataFrame, dims: int) -> DataFrame:
-    """(label, vector, angle) of the distinct labels: only they are featurized, however often they occur."""
-    return features.vectors(tokens, "label", dims).withColumn("angle", vectors.angle_key(F.col("vector")))
+def keyed_labels(tokens: DataFrame, dims: int, *keep: str) -> DataFrame:
+    """(label, keep..., vector, angle) of the distinct labels, or of rows of distinct labels with columns to keep:
+    labels are featurized once, however often they occur."""
+    return features.vectors(tokens, "label", dims, *keep).withColumn("angle", vectors.angle_key(F.col("vector")))
 
 
 def build(docs: DataFrame, key: str = "doc_id", column: str = "text", options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
@@ -24,7 +25,7 @@ def build(docs: DataFrame, key: str = "doc_id", column: str = "text", options: A
     """
     own = text.tokens(docs.select(F.col(key).alias("doc_id"), F.col(column).alias("text")), "text", "doc_id")
     first = own.groupBy("label").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    keyed = first.join(keyed_labels(first, options.dims), "label")
+    keyed = keyed_labels(first, options.dims, "at")
     best = keyed.groupBy("angle").agg(F.min_by(F.struct("label", "vector", "at"), F.struct("at", "label")).alias("b"))
     return best.select("angle", "b.label", "b.vector", F.col("b.at.doc_id").alias("doc_id"), F.col("b.at.pos").alias("pos"))
 
