@@ -23,7 +23,7 @@ from wordmesh.llm.words import word_hashes
 
 ORDER = 3
 ALPHA = 0.4
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 640_000
 BUCKET_GRAMS = 2_000_000
 BITS = 48
 _BATCHES = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("vocab", pa.binary()), ("tokens", pa.binary())])
