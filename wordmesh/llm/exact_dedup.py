@@ -101,7 +101,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_b
         names = _named(pairs.select("id", "label", "n", "part", code.alias("block")), level)
         on = [pairs[c].eqNullSafe(names[c]) for c in ("id", "label", "part")]
         rest = materialize(
-            pairs.join(names.drop("n", "times"), on).select(pairs.id, pairs.label, pairs.n, pairs.part, F.ceil(F.col("size") / 2).alias("size"), "name", pairs.times), f"level{level}"
+            pairs.join(names.drop("n", "times").hint("merge"), on).select(pairs.id, pairs.label, pairs.n, pairs.part, F.ceil(F.col("size") / 2).alias("size"), "name", pairs.times), f"level{level}"
         )
         done, rest = done.unionByName(rest.filter("size <= 1").drop("size")), rest.filter("size > 1")
         longest = (longest + 1) // 2
@@ -111,12 +111,14 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_b
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, label, canonical_id, n_copies, times, keep): the least identifier of equal texts stands for them.
 
+    Names pack so well in files that the size of a file says little of the rows; so these joins are never broadcast.
+
     Null identifiers come last; a text of which all identifiers are null keeps one row. Ties between repeated rows are
     settled by :func:`deduplicate`, which keeps one of them.
     """
     own = identities(docs, key, text, block_bytes)
     groups = own.groupBy(F.col("blocks").alias("b"), F.col("name").alias("m")).agg(F.min("id").alias("canonical_id"), F.sum("times").alias("n_copies"))
-    return own.join(groups, (F.col("blocks") == F.col("b")) & (F.col("name") == F.col("m"))).select(
+    return own.join(groups.hint("merge"), (F.col("blocks") == F.col("b")) & (F.col("name") == F.col("m"))).select(
         "id", "label", "canonical_id", "n_copies", "times", F.col("id").eqNullSafe(F.col("canonical_id")).alias("keep")
     )
 
