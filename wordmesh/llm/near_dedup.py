@@ -143,7 +143,8 @@ def groups(
             other = held.select("v", F.col("node").alias("b"), F.col("label").alias("y"))
             pairs = held.join(other, "v").filter("node < b and label <> y").select(F.col("node").alias("a"), "b")
         edges = materialize(_similar(pairs.distinct(), sets, k, floor, threshold), "verified")
-        labels = _relabel(labels, edges)
+        if not edges.isEmpty():
+            labels = _relabel(labels, edges)
     rows = found.groupBy("id", "label", "node").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.join(labels.select("node", F.col("label").alias("g")), "node", "left")
     rows = rows.withColumn("g", F.coalesce("g", "node"))

@@ -48,8 +48,8 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, tolerance: float = TOLERANC
 
     In each shard slots are taken in the order of bytes, then number; those with which the running sum passes
     ``(1 + tolerance) * mean`` leave. The free room of the other shards up to the mean, laid end to end in the order of
-    shards, receives the leaving slots, laid end to end in the order of slot numbers and scaled to fit. Ties go by
-    slot number. With no bytes at all nothing moves. The map's size is fixed by the number of slots, so its windows
+    shards, receives the leaving slots, laid end to end in the order of slot numbers and scaled to fit, so a shard
+    passes its cap by one slot at most. Ties go by slot number. With no bytes at all nothing moves. The map's size is fixed by the number of slots, so its windows
     run over a few thousand rows.
     """
     base = slot_map.join(sizes, "slot", "left").select(
