@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from wordmesh.functions import text, vectors
 
 NODES = "tree string, node_id int, label string, indices array<int>, values array<float>, left_id int, right_id int, preorder int"
 MAGIC, VERSION = "WMSG", 1
+BASE_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 def bag_of_words(sentences: DataFrame, words: DataFrame, *keys: str, sentence: str = "sentence") -> DataFrame:
@@ -131,8 +133,10 @@ def build(bags: DataFrame, order: str = "sent_id", tree: str | None = None, opti
 def search(nodes: DataFrame, queries: DataFrame, *keys: str, options: GraphOptions = GraphOptions()) -> DataFrame:
     """(keys..., tree, node_id, label, score): the greedy match of each query in each tree.
 
-    A tree goes to the tasks of its queries: trees and queries are cogrouped by tree, never collected.
+    Queries are dealt into as many parts as there are shuffle partitions, and each part meets a copy of each tree: trees
+    and queries are cogrouped, never collected, and many queries of one tree are many tasks.
     """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{k} {queries.schema[k].dataType.simpleString()}" for k in keys) + ", tree string, node_id int, label string, score double"
 
     def descend(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +150,9 @@ def search(nodes: DataFrame, queries: DataFrame, *keys: str, options: GraphOptio
         return out
 
     trees = nodes.select(F.col("tree").alias("of_tree")).distinct()
-    spread = queries.select(*keys, "indices", "values").crossJoin(F.broadcast(trees))
-    return nodes.groupBy("tree").cogroup(spread.groupBy("of_tree")).applyInPandas(descend, schema)
+    spread = queries.select(*keys, "indices", "values", F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("of_part")).crossJoin(F.broadcast(trees))
+    copies = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return copies.groupBy("tree", "part").cogroup(spread.groupBy("of_tree", "of_part")).applyInPandas(descend, schema)
 
 
 def best_of_forest(hits: DataFrame, *keys: str) -> DataFrame:
@@ -174,18 +179,16 @@ def exhaustive(nodes: DataFrame, queries: DataFrame, *keys: str, k: int = 1) ->
     return traverse(nodes, queries, *keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, base: DataFrame, k: int = 1, options: GraphOptions = GraphOptions()) -> DataFrame:
+def dense_top_k(queries: DataFrame, base: DataFrame, k: int = 1) -> DataFrame:
     """(query_id, vec_id, score, rank) of (query_id, q) against (vec_id, v), dense arrays: blocks of both sides meet in numpy products.
 
-    Each block of the base meets each block of queries once; a block's own best k are kept before the last ranking.
+    Each block of the base meets each block of queries once; a block's own best k are kept before the last ranking. Blocks
+    hold a few thousand vectors whatever the tables' size.
     """
-    import numpy as np
-
     def block(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
         return df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), key, value).groupBy("block").agg(F.collect_list(F.struct(key, value)).alias(value + "s"))
 
-    n = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = block(base, "vec_id", "v", n).drop("block").crossJoin(block(queries, "query_id", "q", 1 + n // 8).drop("block"))
+    pairs = block(base, "vec_id", "v", 1 + base.count() // BASE_BLOCK).drop("block").crossJoin(block(queries, "query_id", "q", 1 + queries.count() // QUERY_BLOCK).drop("block"))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
