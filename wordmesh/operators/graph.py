@@ -141,7 +141,8 @@ def search(nodes: DataFrame, queries: DataFrame, *keys: str, options: GraphOptio
 
     def descend(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
-            return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+            kinds = {"int": "int32", "bigint": "int64", "double": "float64"}
+            return pd.DataFrame({f.split()[0]: pd.Series([], dtype=kinds.get(f.split()[1], "object")) for f in schema.split(", ")})
         t = Tree.of(rows, options)
         hits = [t.closest(dict(zip(i, v))) for i, v in zip(asked["indices"], asked["values"])]
         out = asked[list(keys)].copy()
