@@ -3,7 +3,7 @@
 The n-grams of all documents, with their counts, are exploded and partitioned by hash; each partition sums its count
 table and joins it to the n-grams that asked; the answers go back and are summed per document. Documents are taken in batches
 of some 640,000 words, and rows of these relations are packed: one row holds the distinct n-grams of a batch
-that fall in one hash bucket, sorted, as byte planes of their differences (about 5 bytes an n-gram). A document doesn't
+that fall in one hash bucket, sorted, as compressed byte planes of their differences (under 5 bytes an n-gram). A document doesn't
 vouch for itself: its own counts are taken off before it is scored, so a backoff happens where other documents lack the n-gram.
 """
 
@@ -32,12 +32,14 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("log_scor
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit numbers, first all of the lowest, then all of the next, and so on."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """The low ``width`` bytes of 64-bit numbers, first all of the lowest, then all of the next, and so on; compressed, behind their number."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unplanes(raw: bytes, width: int) -> np.ndarray:
-    n = len(raw) // width
+def unplanes(packed: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    raw = pa.decompress(packed[4:], n * width, codec="zstd", asbytes=True)
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
