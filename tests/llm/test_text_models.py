@@ -191,6 +191,28 @@ def test_candidates_and_seeds():
     assert pii.candidates_of("") == [] and pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
 
 
+WRITTEN = [  # text, identifiers as written by hand, their kinds
+    ("call 555-123-4567 or 555.123.4567, not (202) 555-0143.", {"555-123-4567": "phone", "555.123.4567": "phone", "(202) 555-0143": "phone"}),
+    ("number 123-45-6789 and 123 45 6789 on file", {"123-45-6789": "ssn", "123 45 6789": "ssn"}),
+    ("paid by 4111 1111 1111 1111, then 12 4111-1111-1111-1111 2024-05-06", {"4111 1111 1111 1111": "card", "4111-1111-1111-1111": "card"}),
+    ("ring +1 555 123 4567 10.20.30.40 4539578763621486 4539578763621486", {"+1 555 123 4567": "phone", "10.20.30.40": "ip", "4539578763621486": "card"}),
+]
+
+
+def test_numbers_of_many_groups():
+    for text, want in WRITTEN:
+        assert {c[2]: c[3] for c in pii.candidates_of(text) if c[3]} == want
+    assert [c[2:4] for c in pii.candidates_of("4111 1111 1111 1112 or +33 1 23 45 67 89 or 555-0143")] == [("4111 1111 1111 1112", None), ("+33 1 23 45 67 89", None), ("555-0143", None)]
+    plain = "on 2024-05-06 or 12/05/2024 at 12:30 of 1,234.50 in 1999-2003 was 3/4 and 1 234 567 in 2000 1999"
+    assert {c[3] for c in pii.candidates_of(plain)} == {""} and len(pii.candidates_of(plain)) == 9
+
+
+def test_written_numbers_are_found(spark):
+    texts = [t for t, _ in WRITTEN]
+    got = {(g[0], g[3], g[4]) for g in map(tuple, pii.identifiers(table(spark, texts)).collect())}
+    assert got >= {(i, v, k) for i, (_, want) in enumerate(WRITTEN) for v, k in want.items()}
+
+
 def identifiers_slow(texts, rounds=pii.ROUNDS):
     """The bootstrapping on plain dicts."""
     found = [(i, *c) for i, t in enumerate(texts) if t for c in pii.candidates_of(t)]

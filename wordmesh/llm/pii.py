@@ -1,8 +1,9 @@
 """Operator 8: personal identifiers by bootstrapped contextual extraction.
 
 Candidates are the tokens of a text that hold a digit or an @. Seeds are those that a validator accepts (mail address,
-dotted IP address, phone number, card number with a right check digit, key with a known prefix, value after a
-secret's name); plain short numbers are known not to be identifiers. Each candidate stands in lexical patterns: its shape,
+dotted IP address, phone number, social security number, card number with a right check digit, key with a known prefix,
+value after a secret's name); plain short numbers, decimals, times and dates are known not to be identifiers. Digit groups
+a space apart that make one number are one candidate. Each candidate stands in lexical patterns: its shape,
 its tail, and the words before or behind it with its rough shape. Pattern and instance score each other in turn: a
 pattern by the confidence of its distinct instances against what is known to be none and, weakly, what is unknown; an
 instance by the patterns that are good enough. After a few rounds the confident patterns' instances, seen or not in the seeds,
@@ -34,7 +35,19 @@ _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d
 _PHONE = re.compile(r"\+\d{1,3} ?\(?\d{2,4}\)?[ -]\d{3}[ -]\d{3,4}")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _SECRET = re.compile(r"(?i)(token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[:=]\s*[\"']?$")
-_NUMBER = re.compile(r"[#]?\d{1,6}(?:[.,:/-]\d{1,4}){0,2}[.%)]?|\d{1,2}(?:st|nd|rd|th)")
+_LOCAL_PHONE = re.compile(r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}")
+_SSN = re.compile(r"(?!000|666|9)\d{3}([ -])(?!00)\d\d\1(?!0000)\d{4}")
+_DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
+#: Counts, decimals, thousands, times, dates, fractions, short ranges and ranges of years, ordinals.
+_NUMBER = re.compile(
+    r"#?\d{1,6}[.%)]?|\d{1,6}[.,]\d{1,4}%?|\d{1,3}(?:,\d{3})+(?:\.\d{1,4})?|\d{1,2}(?:[. ]\d{3}){1,2}(?:,\d{1,4})?|\d{1,2}:\d{2}(?:[:.]\d{2})?"
+    rf"|(?:1\d|20)\d\d([./-]){_MONTH}\1{_DAY}|{_DAY}([./-]){_MONTH}\2(?:(?:1\d|20)\d\d|\d\d)|{_MONTH}([./-]){_DAY}\3(?:(?:1\d|20)\d\d|\d\d)"
+    r"|\d{1,4}/\d{1,4}|\d{1,2}-\d{1,2}|(?:1\d|20)\d\d-(?:\d\d|(?:1\d|20)\d\d)|\d{1,2}(?:st|nd|rd|th)"
+)
+_GROUP = re.compile(r"\+?\(?\d+\)?(?:[-./]?\(?\d+\)?)*")
+_NEXT = re.compile(r"[ \u00a0](\(?\d+\)?(?:[-./]?\(?\d+\)?)*)(?=[^\w@]*(?:\s|$))")
+_CARD_GROUPS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+_YEAR = re.compile(r"(?:1\d|20)\d\d")
 _PART = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{16,}|\d+|[^\W\d_]+|.", re.S)
 
 
@@ -68,8 +81,10 @@ def seed_type(value: str, before: str) -> str | None:
         return "email"
     if _IP.fullmatch(value):
         return "ip"
-    if _PHONE.fullmatch(value):
+    if _PHONE.fullmatch(value) or _LOCAL_PHONE.fullmatch(value):
         return "phone"
+    if _SSN.fullmatch(value):
+        return "ssn"
     if _KEY.fullmatch(value):
         return "key"
     digits = re.sub(r"[ -]", "", value)
@@ -80,45 +95,95 @@ def seed_type(value: str, before: str) -> str | None:
     return "" if _NUMBER.fullmatch(value) else None
 
 
+def joins(value: str) -> bool:
+    """Whether digit groups with spaces between them are one value: an accepted number, a number to dial, or groups of at most 6 digits."""
+    if _CARD_GROUPS.fullmatch(value) or _PHONE.fullmatch(value) or _LOCAL_PHONE.fullmatch(value) or _SSN.fullmatch(value):
+        return True
+    parts = value.replace("\u00a0", " ").split(" ")
+    sizes = [len(g) for g in re.findall(r"\d+", value)]
+    if any(_IP.fullmatch(p) or len(p) > 5 and _NUMBER.fullmatch(p) for p in parts):
+        return False
+    if value[0] in "+(":
+        return 7 <= sum(sizes) <= 15
+    if seed_type(value, "") == "card":
+        return max(sizes) <= 8
+    if max(sizes) > 6 or not 7 <= sum(sizes) <= 19:
+        return False
+    return len(sizes) > 2 or min(sizes) > 2 and not all(map(_YEAR.fullmatch, parts))
+
+
+def groups(text: str, a: int, z: int) -> list[tuple[int, int]]:
+    """Cuts a token and the digit groups that follow it, a space apart, into values: each the longest that is accepted, or else that joins."""
+    ends, at = [z], z
+    while text[at - 1] not in ".,;:!?" and (m := _NEXT.match(text, at)):
+        at = m.end()
+        ends.append(at)
+        if at < len(text) and not text[at].isspace():
+            break
+    starts = [a, *(e + 1 for e in ends[:-1])]
+    def accepted(i: int) -> int | None:
+        for j in range(len(ends) - 1, i, -1):
+            v = text[starts[i] : ends[j]]
+            if _CARD_GROUPS.fullmatch(v) and seed_type(v, "") or _PHONE.fullmatch(v) or _LOCAL_PHONE.fullmatch(v) or _SSN.fullmatch(v):
+                return j
+        return i if seed_type(text[starts[i] : ends[i]], "") else None
+
+    found = [accepted(i) for i in range(len(ends))]
+    out, i = [], 0
+    while i < len(ends):
+        j = found[i]
+        if j is None:
+            stop = next((k for k in range(i + 1, len(ends)) if found[k] is not None), len(ends))
+            j = next((j for j in range(stop - 1, i, -1) if joins(text[starts[i] : ends[j]])), i)
+        out.append((starts[i], ends[j]))
+        i = j + 1
+    return out
+
+
 def candidates_of(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
-    """(start, end, value, seed type, patterns) of each token with a digit or @; a dialling prefix takes what follows it."""
+    """(start, end, value, seed type, patterns) of each token with a digit or @; digit groups that belong together are one."""
     out, at, n = [], 0, len(text)
     while (m := _MARK.search(text, at)) is not None:
         a = m.start()
         while a > at and not text[a - 1].isspace():
             a -= 1
-        z, last = m.end(), a
-        while True:
-            while z < n and not text[z].isspace():
-                z += 1
-            if text[last:z].lstrip(_EDGE_L)[:1] in ("+", "(") and re.match(r" [(]?\d", text[z : z + 3]):
-                last = z = z + 1
-                continue
-            break
+        z = m.end()
+        while z < n and not text[z].isspace():
+            z += 1
         at = z
         if "=" in text[a:z] and "@" not in text[a:z]:
             a += text[a:z].rindex("=", 0, z - a) + 1
         while a < z and text[a] in _EDGE_L:
             a += 1
+        end = z
         while z > a and text[z - 1] in _EDGE_R:
             z -= 1
-        value = text[a:z]
-        if not _MARK.search(value):
-            continue
-        before, behind = text[max(0, a - 60) : a], text[z : z + 40]
-        rough = shape(value, True)
-        words = re.findall(r"\w+|[=:]", before.lower())
-        patterns = ["S " + shape(value)]
-        if words:
-            patterns.append(f"L {' '.join(words[-2:])} {rough}")
-        if after := re.match(r"\W*(\w+)", behind.lower()):
-            patterns.append(f"R {rough} {after.group(1)}")
-        if "@" in value:
-            patterns.append("T @" + ".".join(value.rsplit("@", 1)[1].lower().split(".")[-2:]))
-        out.append((a, z, value, seed_type(value, before), patterns))
+        spans = groups(text, a, z) if z == end and _GROUP.fullmatch(text, a, z) else [(a, z)]
+        at = max(at, spans[-1][1])
+        while at < n and not text[at].isspace():
+            at += 1
+        for a, z in spans:
+            value = text[a:z]
+            if _MARK.search(value):
+                out.append((a, z, value, *_described(text, a, z)))
     return out
 
 
+def _described(text: str, a: int, z: int) -> tuple[str | None, list[str]]:
+    """The seed type and the patterns of the value at a place."""
+    value, before, behind = text[a:z], text[max(0, a - 60) : a], text[z : z + 40]
+    rough = shape(value, True)
+    words = re.findall(r"\w+|[=:]", before.lower())
+    patterns = ["S " + shape(value)]
+    if words:
+        patterns.append(f"L {' '.join(words[-2:])} {rough}")
+    if after := re.match(r"\W*(\w+)", behind.lower()):
+        patterns.append(f"R {rough} {after.group(1)}")
+    if "@" in value:
+        patterns.append("T @" + ".".join(value.rsplit("@", 1)[1].lower().split(".")[-2:]))
+    return seed_type(value, before), patterns
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, value, seed, patterns) of all candidates."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string()))])
