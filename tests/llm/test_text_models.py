@@ -213,6 +213,27 @@ def test_written_numbers_are_found(spark):
     assert got >= {(i, v, k) for i, (_, want) in enumerate(WRITTEN) for v, k in want.items()}
 
 
+def test_values_between_separators():
+    padded = "QWxhZGRpbjpvcGVuIHNlc2FtZQ12345w=="
+    for text, want in [
+        (f'token = "{padded}" x', {padded: "secret"}),
+        (f"token={padded}", {padded: "secret"}),
+        ("see /login?token=9f86d081884c7d65&page=2", {"9f86d081884c7d65": "secret", "2": ""}),
+        ("(jane@x.com) mailto:ann@x.com a@x.com,b@x.com", {"jane@x.com": "email", "ann@x.com": "email", "a@x.com": "email", "b@x.com": "email"}),
+        ("Ann<ann@x.com>; ((202) 555-0143) (4111 1111 1111 1111)", {"ann@x.com": "email", "(202) 555-0143": "phone", "4111 1111 1111 1111": "card"}),
+        ("10.20.30.40:8080 12:30 1,234.5 (12) 00:1b:44:11:3a:b7", {"10.20.30.40": "ip", "8080": "", "12:30": "", "1,234.5": "", "12": "", "00:1b:44:11:3a:b7": None}),
+    ]:
+        found = pii.candidates_of(text)
+        assert {c[2]: c[3] for c in found} == want and all(text[c[0] : c[1]] == c[2] for c in found)
+
+
+def test_words_in_confident_contexts(spark):
+    texts = [f"the password : {v} is it" for v in ("a9f86d081884c7d65x", "b9f86d081884c7d65x", "c9f86d081884c7d65x", "d9f86d081884c7d65x", "openSesame", "openSesame")]
+    texts += ["mail me jane%d@x.com" % i for i in range(4)] + [f"mail me {w} openSesame" for w in ("now", "soon", "often", "again", "never")]
+    got = [(g[0], g[3], g[4], g[5]) for g in map(tuple, pii.identifiers(table(spark, texts)).collect()) if not any(c.isdigit() for c in g[3])]
+    assert sorted(got) == [(4, "openSesame", "secret", "pattern"), (5, "openSesame", "secret", "pattern")]
+
+
 def identifiers_slow(texts, rounds=pii.ROUNDS):
     """The bootstrapping on plain dicts."""
     found = [(i, *c) for i, t in enumerate(texts) if t for c in pii.candidates_of(t)]

@@ -1,13 +1,14 @@
 """Operator 8: personal identifiers by bootstrapped contextual extraction.
 
-Candidates are the tokens of a text that hold a digit or an @. Seeds are those that a validator accepts (mail address,
+Candidates are the values of a text, parted by white space and separators, that hold a digit or an @. Seeds are those that a validator accepts (mail address,
 dotted IP address, phone number, social security number, card number with a right check digit, key with a known prefix,
 value after a secret's name); plain short numbers, decimals, times and dates are known not to be identifiers. Digit groups
 a space apart that make one number are one candidate. Each candidate stands in lexical patterns: its shape,
 its tail, and the words before or behind it with its rough shape. Pattern and instance score each other in turn: a
 pattern by the confidence of its distinct instances against what is known to be none and, weakly, what is unknown; an
 instance by the patterns that are good enough. After a few rounds the confident patterns' instances, seen or not in the seeds,
-are reported where they occur. One pass over the text leaves only the candidates; the graph is small and is written
+are reported where they occur. Words without a digit or @ are admitted at the end, where the two words before are as
+confident a context whatever the shape, each distinct word counted against it. One pass over the text leaves only the candidates; the graph is small and is written
 to the shared folder each round.
 """
 
@@ -44,8 +45,13 @@ _NUMBER = re.compile(
     rf"|(?:1\d|20)\d\d([./-]){_MONTH}\1{_DAY}|{_DAY}([./-]){_MONTH}\2(?:(?:1\d|20)\d\d|\d\d)|{_MONTH}([./-]){_DAY}\3(?:(?:1\d|20)\d\d|\d\d)"
     r"|\d{1,4}/\d{1,4}|\d{1,2}-\d{1,2}|(?:1\d|20)\d\d-(?:\d\d|(?:1\d|20)\d\d)|\d{1,2}(?:st|nd|rd|th)"
 )
-_GROUP = re.compile(r"\+?\(?\d+\)?(?:[-./]?\(?\d+\)?)*")
-_NEXT = re.compile(r"[ \u00a0](\(?\d+\)?(?:[-./]?\(?\d+\)?)*)(?=[^\w@]*(?:\s|$))")
+_GROUP = re.compile(r"\+?(?:\(\d+\)|\d+)(?:[-./]?(?:\(\d+\)|\d+))*")
+_NEXT = re.compile(r"[ \u00a0]((?:\(\d+\)|\d+)(?:[-./]?(?:\(\d+\)|\d+))*)(?=[^\w@]*(?:\s|$))")
+#: A value between separators; base64 keeps its padding.
+_PIECE = re.compile(r"(?P<padded>(?:(?:[\w+/-]{4}){2,}(?:[\w+/-]{2}==|[\w+/-]{3}=)|[\w+/-]{16,}={1,2})(?!=|\w|[\"']\w))|[^=&;<>|\"\[\]{}]+", re.A)
+_INNER = re.compile(r"[^:,()]+")
+_COLONS = re.compile(r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|\d{4}-\d\d-\d\dT[\d:.]+(?:Z|[+-]\d\d:?\d\d)?")
+_WORD = re.compile(r"\w+|[=:]")
 _CARD_GROUPS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
 _YEAR = re.compile(r"(?:1\d|20)\d\d")
 _PART = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{16,}|\d+|[^\W\d_]+|.", re.S)
@@ -140,6 +146,36 @@ def groups(text: str, a: int, z: int) -> list[tuple[int, int]]:
     return out
 
 
+def trim(text: str, a: int, z: int) -> tuple[int, int]:
+    """Strips edges and the parentheses that are open, or stand around the whole value."""
+    while a < z:
+        v = text[a:z]
+        left, right = v.count("("), v.count(")")
+        if v[0] in _EDGE_L or v[0] == "(" and (left > right or v.find(")") == len(v) - 1):
+            a += 1
+        elif v[-1] in _EDGE_R or v[-1] == ")" and right > left:
+            z -= 1
+        else:
+            break
+    return a, z
+
+
+def pieces(text: str, a: int, z: int) -> list[tuple[int, int]]:
+    """The values of a token, which separators (= & : , parentheses, quotes) part; numbers, times and addresses keep theirs."""
+    out = []
+    for m in _PIECE.finditer(text, a, z):
+        if m.lastgroup:
+            out.append(m.span())
+            continue
+        b, e = trim(text, *m.span())
+        v = text[b:e]
+        if _NUMBER.fullmatch(v) or _COLONS.fullmatch(v) or _GROUP.fullmatch(v) or not any(c in v for c in ":,()"):
+            out.append((b, e))
+        else:
+            out += [trim(text, *i.span()) for i in _INNER.finditer(text, b, e)]
+    return [(b, e) for b, e in out if b < e]
+
+
 def candidates_of(text: str) -> list[tuple[int, int, str, str | None, list[str]]]:
     """(start, end, value, seed type, patterns) of each token with a digit or @; digit groups that belong together are one."""
     out, at, n = [], 0, len(text)
@@ -151,15 +187,14 @@ def candidates_of(text: str) -> list[tuple[int, int, str, str | None, list[str]]
         while z < n and not text[z].isspace():
             z += 1
         at = z
-        if "=" in text[a:z] and "@" not in text[a:z]:
-            a += text[a:z].rindex("=", 0, z - a) + 1
-        while a < z and text[a] in _EDGE_L:
-            a += 1
-        end = z
-        while z > a and text[z - 1] in _EDGE_R:
-            z -= 1
-        spans = groups(text, a, z) if z == end and _GROUP.fullmatch(text, a, z) else [(a, z)]
-        at = max(at, spans[-1][1])
+        b, e = a, z
+        while b < e and (text[b] in _EDGE_L or text[b] == "(" and text.count("(", b, e) > text.count(")", b, e)):
+            b += 1
+        if b < e and _GROUP.fullmatch(text, b, e):
+            spans = [trim(text, *s) for s in groups(text, b, e)]
+        else:
+            spans = pieces(text, a, z)
+        at = max(at, *(e for _, e in spans)) if spans else at
         while at < n and not text[at].isspace():
             at += 1
         for a, z in spans:
@@ -169,14 +204,36 @@ def candidates_of(text: str) -> list[tuple[int, int, str, str | None, list[str]]
     return out
 
 
+def context_of(text: str, a: int) -> str:
+    """The two words before a place; = and : count as words."""
+    return " ".join(_WORD.findall(text[max(0, a - 60) : a].lower())[-2:])
+
+
+def words_of(text: str, contexts: dict[str, set[str]]) -> list[tuple[int, int, str, str]]:
+    """(start, end, value, context) of the values without a digit or @ that stand in one of the contexts, given by their last word."""
+    out, last = [], None
+    for m in _WORD.finditer(text):
+        word, before, a = m.group().lower(), last, m.start()
+        last = word
+        if before not in contexts or word in "=:" or not (text[a - 1].isspace() or text[a - 1] in "=:&;,|<>[]{}\"'("):
+            continue
+        if (context := context_of(text, a)) in contexts[before]:
+            z = a
+            while z < len(text) and not text[z].isspace():
+                z += 1
+            b, e = next(iter(pieces(text, a, z)), (z, z))
+            if b == a and e - b > 1 and not _MARK.search(text, b, e):
+                out.append((b, e, text[b:e], context))
+    return out
+
+
 def _described(text: str, a: int, z: int) -> tuple[str | None, list[str]]:
     """The seed type and the patterns of the value at a place."""
     value, before, behind = text[a:z], text[max(0, a - 60) : a], text[z : z + 40]
     rough = shape(value, True)
-    words = re.findall(r"\w+|[=:]", before.lower())
     patterns = ["S " + shape(value)]
-    if words:
-        patterns.append(f"L {' '.join(words[-2:])} {rough}")
+    if context := context_of(text, a):
+        patterns.append(f"L {context} {rough}")
     if after := re.match(r"\W*(\w+)", behind.lower()):
         patterns.append(f"R {rough} {after.group(1)}")
     if "@" in value:
@@ -185,19 +242,71 @@ def _described(text: str, a: int, z: int) -> tuple[str | None, list[str]]:
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, end, value, seed, patterns) of all candidates."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string()))])
+    """(doc_id, start, end, value, seed, patterns, context) of all candidates."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string())), ("context", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                rows = [(i, *c, context_of(t, c[0])) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) if t for c in candidates_of(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return own.mapInArrow(run, "doc_id bigint, start int, `end` int, value string, seed string, patterns array<string>, context string")
+
+
+def word_occurrences(docs: DataFrame, contexts: dict[str, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, start, end, value, context) of the values without a digit or @ in the contexts given.
+
+    A context comes with the number of distinct words that it bears; a task that has seen more of them gives no further
+    rows for it, as those it gave settle that the context isn't confident.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("context", pa.string())])
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        seen: dict[str, set[str]] = {}
+        most = shared.value
+        for c in most:
+            known.setdefault(c.rsplit(" ", 1)[-1], set()).add(c)
+
+        def alive(c: str, value: str) -> bool:
+            words = seen.setdefault(c, set())
+            if len(words) > most[c]:
+                return False
+            words.add(value)
+            if len(words) > most[c]:
+                known[c.rsplit(" ", 1)[-1]].discard(c)
+            return True
+
         for batch in batches:
             for b in slices(batch, "text"):
-                rows = [(i, *c) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) if t for c in candidates_of(t)]
+                rows = [(i, *c) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) if t for c in words_of(t, known) if alive(c[3], c[2])]
+                known = {w: cs for w, cs in known.items() if cs}
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, start int, `end` int, value string, seed string, patterns array<string>")
+    return own.mapInArrow(run, "doc_id bigint, start int, `end` int, value string, context string")
 
 
+def words_in_context(docs: DataFrame, found: DataFrame, scores: DataFrame, key: str, text: str) -> DataFrame | None:
+    """Identifiers without a digit or @: what stands where nearly all else is an identifier. Each distinct word counts against its context."""
+    seen = found.select("value", "context").filter("context <> ''").distinct().join(scores, "value")
+    yes = F.coalesce(F.sum(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0))
+    rest = F.count_if(F.col("negative")) + UNKNOWN_WEIGHT * F.count_if(~F.col("negative") & (F.col("score") <= 0))
+    contexts = seen.groupBy("context").agg(yes.alias("yes"), rest.alias("rest"), F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    good = materialize(contexts.filter((F.col("yes") >= LEAST_SUPPORT) & (F.col("yes") / (F.col("yes") + F.col("rest")) >= LEAST_PATTERN)), "contexts")
+    most = F.floor(F.col("yes") / LEAST_PATTERN - F.col("yes") - F.col("rest")).cast("int") + 1
+    names = {r[0]: r[1] for r in good.select("context", most).toLocalIterator()}
+    if not names:
+        return None
+    words = materialize(word_occurrences(docs, names, key, text), "words")
+    counted = good.join(words.groupBy("context").agg(F.count_distinct("value").alias("words")), "context")
+    sure = counted.withColumn("c", F.col("yes") / (F.col("yes") + F.col("rest") + F.col("words"))).filter(F.col("c") >= LEAST_PATTERN)
+    given = sure.select("context", "kind", (F.least("c", F.lit(0.999)) * 0.95).alias("given")).filter(F.col("given") >= LEAST_INSTANCE)
+    return words.join(given, "context").select("doc_id", "start", "end", "value", "kind", F.lit("pattern").alias("found_by"), F.round("given", 6).alias("confidence"))
+
 def score_patterns(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """(pattern, confidence, kind): against instances known to be none, and the unknown at a small weight."""
     known = edges.join(scores, "value")
@@ -215,7 +324,7 @@ def score_patterns(edges: DataFrame, scores: DataFrame) -> DataFrame:
 def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, start, end, value, kind, found_by, confidence) of every identifier that occurs.
 
-    start and end count characters. found_by is 'seed', or 'pattern' for what only the patterns gave. Each distinct value
+    start and end count characters. Words without a digit or @ are reported only where they stand in a confident context. found_by is 'seed', or 'pattern' for what only the patterns gave. Each distinct value
     counts once for a pattern however often it occurs; ties between kinds go to the later name. Null and empty texts have
     none; null identifiers stay null; repeated rows report each their own; an empty table gives no rows.
     """
@@ -233,4 +342,6 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
         new = F.when(F.col("seed").isNotNull(), F.lit(1.0)).when(F.col("negative") | F.col("given").isNull() | (F.col("given") < LEAST_INSTANCE), F.lit(0.0)).otherwise(F.col("given"))
         scores = materialize(base.join(given, "value", "left").select("value", "negative", new.alias("score"), F.coalesce("seed", F.when(new > 0, F.col("k"))).alias("kind")), f"scores{r}")
     good = scores.filter("score > 0").join(base.select("value", F.col("seed").alias("s")), "value").select("value", "kind", "score", F.when(F.col("s").isNotNull(), "seed").otherwise("pattern").alias("found_by"))
-    return found.join(good, "value").select("doc_id", "start", "end", "value", "kind", "found_by", F.round("score", 6).alias("confidence"))
+    marked = found.join(good, "value").select("doc_id", "start", "end", "value", "kind", "found_by", F.round("score", 6).alias("confidence"))
+    words = words_in_context(docs, found, scores, key, text)
+    return marked if words is None else marked.unionByName(words)
