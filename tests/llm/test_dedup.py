@@ -161,3 +161,9 @@ def test_repeats_awkward(spark):
     twice = table(spark, [words(random.Random(1), 60)] * 2, ids=[None, 4])
     assert {(r.doc_id, r["first"]) for r in substrings.repeats(twice).collect()} == {(4, True), (None, False)}
     assert got.select(F.max("end_word")).first()[0] == 6000
+
+
+def test_repeated_rows_are_first_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    got = sorted(map(tuple, substrings.repeats(table(spark, [text, text, text], ids=[1, 1, 2])).collect()))
+    assert got == [(1, 0, 60, 3, True), (2, 0, 60, 3, False)]

@@ -134,7 +134,7 @@ def subtree_runs(rows: list[tuple]) -> pa.RecordBatch:
 
     plain = [[(a, b, int(count[i, a:b].max())) for a, b in runs(state[i]) if state[i, a]] if state[i].any() else [] for i in range(len(rows))]
     seen = set()
-    for void, key, label, pos, i in sorted(occurrences):
+    for void, key, label, pos, i in sorted(set(occurrences)):  # repeated rows count, but are one occurrence
         own = None if void else key
         if i not in seen and leads[i].any():
             kinds = state[i] + leads[i]
