@@ -1,34 +1,52 @@
-"""What the corpus operators share: the scratch folder, row labels and batch slicing.
+"""What the corpus operators share: identifiers of any type, the caller's rows, row labels and batch slicing.
 
-Every operator takes a table whose identifier and text columns are named by parameters, works on its
-own private columns and never on the caller's, so extra columns with clashing names do no harm.
+Every operator takes a table whose identifier and text columns are named by parameters. Where an operator gives the
+caller's rows back, it carries each as one struct beside its own columns, so no name of a caller's column can clash with them.
+Identifiers of a whole-number type are handled as bigint, all others by their text.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordmesh.functions.storage import materialize, setting, shared_dir
+from wordmesh.functions.storage import Scratch, materialize, new_path, remove, setting, shared_dir, write
 
-__all__ = ["materialize", "mix", "ranges", "row_label", "scratch", "setting", "shared_dir", "slices"]
+__all__ = ["Scratch", "col", "id_types", "identified", "materialize", "mix", "new_path", "ranges", "remove", "row_label", "setting", "shared_dir", "slices", "with_rows", "write"]
 SLICE_BYTES = 4 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/wordmesh/{name}-{uuid.uuid4().hex}"
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_types(docs: DataFrame, key: str) -> tuple[str, pa.DataType]:
+    """How identifiers are carried, in Spark's and in Arrow's words."""
+    kind = docs.select(col(key)).schema[0].dataType
+    return ("bigint", pa.int64()) if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)) else ("string", pa.string())
 
 
 def row_label(text: str) -> Column:
-    """Tells rows that carry one identifier apart; equal rows share it."""
-    return F.xxhash64(F.col(text))
+    """Tells rows that carry one identifier apart; equal rows share it, and 0 stands for null."""
+    return F.coalesce(F.xxhash64(col(text).cast("string")), F.lit(0))
+
+
+def identified(docs: DataFrame, key: str, text: str, label: bool = True) -> DataFrame:
+    """(id, label, text) of each row."""
+    more = [row_label(text).alias("label")] if label else []
+    return docs.select(col(key).cast(id_types(docs, key)[0]).alias("id"), *more, col(text).cast("string").alias("text"))
+
+
+def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row of the caller as the struct ``row``, and columns made from it; ``select("row.*")`` gives it back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,12 @@ would pass is lost. Pairs from the lists are estimated on the union's sketch, th
 
 The result is groups (connected components), so pairs inside a known group need not be compared. Some rounds compare
 each list's members with one of them; what is verified joins groups; at last all pairs that still cross groups are
-compared. So all that is left out are pairs that could not change the groups.
+compared. So all that is left out are pairs that could not change the groups. A list that still has many members of
+different groups then isn't paired off: its texts' full sets are listed by their rarest shingles, so many that two sets
+of ``threshold`` must share one. That is exact too, and texts that share but a template have no rare shingle in common.
+
+Copies are one node before anything is exploded, and how many nodes have a value is counted with partial sums, so a value
+that a third of all texts share is no group in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordmesh.llm.common import materialize, row_label, slices
+from wordmesh.llm.common import Scratch, id_types, identified, slices
 from wordmesh.llm.exact_dedup import keep_rows
 from wordmesh.llm.graphs import components
 from wordmesh.llm.words import gram_hashes, word_hashes
@@ -32,8 +37,8 @@ K = 64
 THRESHOLD = 0.5
 FLOOR = 0.35
 ROUNDS = 3
-_SKETCH = "id bigint, label bigint, node bigint, n int, sketch array<bigint>"
-_SKETCH_PA = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+#: Lists of up to so many nodes are compared pair by pair; longer ones go by the rarest shingles of full sets.
+LIST_NODES = 500
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
@@ -58,16 +63,17 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(id, label, node, n, sketch) of each row; node is a 64-bit digest of the whole set, null where there are no words."""
+    name, kind = id_types(docs, key)
+    schema = pa.schema([("id", kind), ("label", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 sets = shingle_sets(b.column("text").to_pylist(), shingle)
                 node = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), node, pa.array([len(s) for s in sets], pa.int32()), _lists([s[:k] for s in sets])], schema=_SKETCH_PA)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), node, pa.array([len(s) for s in sets], pa.int32()), _lists([s[:k] for s in sets])], schema=schema)
 
-    own = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(row_label(text), F.lit(0)).alias("label"), F.col(text).alias("text"))
-    return own.mapInArrow(run, _SKETCH)
+    return identified(docs, key, text).mapInArrow(run, f"id {name}, label bigint, node bigint, n int, sketch array<bigint>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -79,12 +85,47 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle:
                 sets = _lists(shingle_sets(b.column("text").to_pylist(), shingle))
                 yield pa.RecordBatch.from_arrays([b.column("node"), sets], names=["node", "grams"])
 
-    own = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(row_label(text), F.lit(0)).alias("label"), F.col(text).alias("text"))
+    own = identified(docs, key, text)
     wanted = wanted.select("node", F.col("id").alias("i"), F.col("label").alias("l"))
     found = own.join(wanted, (own["label"] == wanted["l"]) & own["id"].eqNullSafe(wanted["i"])).select("node", "text")
     return found.mapInArrow(run, "node bigint, grams array<bigint>").dropDuplicates(["node"])
 
 
+def _ranked(values: DataFrame) -> DataFrame:
+    """``values`` (v, node, n), each of a node once, with m, the values of the node that others have too, and their rank in it, the rarest first.
+
+    Values of one node only are dropped. Two nodes that share ``need`` values share one of rank m - need + 1 or less in both.
+    """
+    df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = W.partitionBy("node")
+    return values.join(df, "v").withColumns({"m": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "v"))})
+
+
+def _within(need: F.Column) -> F.Column:
+    return F.col("rank") <= F.col("m") - need + 1
+
+
+def _crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's nodes that are of different groups."""
+    held = lists.join(labels, "node")
+    other = held.select("v", F.col("node").alias("b"), F.col("label").alias("y"))
+    return held.join(other, "v").filter("node < b and label <> y").select(F.col("node").alias("a"), "b")
+
+
+def _by_rare_shingles(sets: DataFrame, labels: DataFrame, threshold: float, s: Scratch) -> DataFrame:
+    """Pairs (a, b) of different groups, all of at least ``threshold`` among them, by the rarest shingles of full sets.
+
+    Sets of na <= nb shingles as similar as that share threshold / (1 + threshold) * (na + nb), which is 2 * threshold /
+    (1 + threshold) * na or more, and threshold * nb or more; so few of the smaller's shingles, and some more of the larger's, have to be listed.
+    """
+    values = sets.select("node", F.size("grams").alias("n"), F.explode("grams").alias("v"))
+    listed = s.table(_ranked(values).filter(_within(F.ceil(F.col("n") * threshold - 1e-9))), "rare").join(labels, "node")
+    small = listed.filter(_within(F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9)))
+    large = listed.select("v", F.col("node").alias("b"), F.col("n").alias("k"), F.col("label").alias("y"))
+    pairs = small.join(large, "v").filter((F.col("label") != F.col("y")) & (F.struct("n", "node") < F.struct("k", "b")) & (F.col("n") >= F.col("k") * threshold))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, k: int, floor: float, threshold: float) -> DataFrame:
     """Of pairs (a, b) those of at least ``threshold``, with their Jaccard similarity."""
     side = lambda c, x, y: sets.select(F.col("node").alias(c), F.col(y).alias(x))
@@ -98,13 +139,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, k: int, floor: float, threshold:
     return full.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
-def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, edges: DataFrame, s: Scratch) -> DataFrame:
     """Joins the groups that edges (a, b) between nodes connect."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    joined = components(edges.select("a", "b").join(la, "a").join(lb, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    joined = components(edges.select("a", "b").join(la, "a").join(lb, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), s)
     joined = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
-    return materialize(labels.join(joined, labels["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    return s.table(labels.join(joined, labels["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def groups(
@@ -113,45 +154,50 @@ def groups(
     """(id, label, times, group_id, group_size, keep), a row for each distinct identifier and text.
 
     Rows are in one group if a chain of pairs of at least ``threshold`` links them; group_id is the least identifier,
-    which stays. Texts of one set of shingles are one node, so copies are never compared with each other. Null and
-    wordless texts are groups of their own; null identifiers come last and stay only where a group has no other. ``times``
-    counts repeated rows. An empty table gives no rows.
+    which stays (ties between texts of one identifier go by a hash). Texts of one set of shingles are one node, so copies are never
+    compared with each other. Null and wordless texts are groups of their own; null identifiers come last and stay only where a group has
+    no other. Very long texts are hashed whole, in slices. ``times`` counts repeated rows. An empty table gives no rows. Only the two
+    named columns are read, so others' names don't matter.
     """
-    found = materialize(sketches(docs, key, text, k, shingle), "sketches")
-    every = W.partitionBy("v")
-    kept = found.filter("node is not null").select("node", "n", F.explode("sketch").alias("v"))
-    shared = kept.withColumns({"lo": F.min("node").over(every), "hi": F.max("node").over(every)}).filter("lo < hi").select("v", "node", "n").distinct()
-    shared = materialize(shared, "shared")
-    rarity = shared.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    own = W.partitionBy("node")
+    s = Scratch(docs.sparkSession, "near")
+    found = s.table(sketches(docs, key, text, k, shingle), "sketches")
+    nodes = found.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "label")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = s.table(nodes.select("node", "r.id", "r.label", "n", "sketch"), "nodes")
     need = F.ceil(F.least(F.col("n"), F.lit(k)) * floor)
-    ranked = shared.join(rarity, "v").withColumns({"m": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "v"))})
-    lists = materialize(ranked.filter(F.col("rank") <= F.col("m") - need + 1).select("v", "node"), "lists")
-    nodes = lists.select("node").distinct()
-    cand = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "label")).alias("r"), F.first("sketch").alias("sketch"))
-    cand = materialize(cand.select("node", "r.id", "r.label", "sketch"), "candidates")
-    sets = materialize(cand.select("node", "sketch").join(_full_sets(docs, cand, key, text, shingle), "node"), "sets")
-    labels = nodes.select("node", F.col("node").alias("label"))
+    lists = s.table(_ranked(nodes.select("node", "n", F.explode("sketch").alias("v"))).filter(_within(need)).select("v", "node"), "lists")
+    listed = lists.select("node").distinct()
+    cand = s.table(nodes.join(listed, "node", "left_semi").select("node", "id", "label", "sketch"), "candidates")
+    s.drop(nodes)
+    sets = s.table(cand.select("node", "sketch").join(_full_sets(docs, cand, key, text, shingle), "node"), "sets")
+    s.drop(cand)
+    labels = listed.select("node", F.col("node").alias("label"))
     for r in range(rounds + 1):
         held = lists.join(labels, "node")
-        mixed = held.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(r))).alias("c")).filter("lo < hi")
+        mixed = held.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("nodes"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(r))).alias("c"))
+        mixed = mixed.filter("lo < hi")
         if r < rounds:
             star = held.join(mixed.select("v", "c"), "v").filter("label <> c.label")
             pairs = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
         else:
-            held = held.join(mixed.select("v"), "v", "left_semi")
-            other = held.select("v", F.col("node").alias("b"), F.col("label").alias("y"))
-            pairs = held.join(other, "v").filter("node < b and label <> y").select(F.col("node").alias("a"), "b")
-        edges = materialize(_similar(pairs.distinct(), sets, k, floor, threshold), "verified")
+            left = s.table(lists.join(mixed.select("v", "nodes"), "v"), "crossing")
+            pairs = _crossing(left.filter(F.col("nodes") <= LIST_NODES).select("v", "node"), labels)
+            many = left.filter(F.col("nodes") > LIST_NODES).select("node").distinct()
+            if not many.isEmpty():
+                pairs = pairs.unionByName(_by_rare_shingles(sets.join(many, "node"), labels, threshold, s))
+        edges = s.table(_similar(pairs.distinct(), sets, k, floor, threshold), "verified")
         if not edges.isEmpty():
-            labels = _relabel(labels, edges)
+            old, labels = labels, _relabel(labels, edges, s)
+            s.drop(old)
+        s.drop(edges)
     rows = found.groupBy("id", "label", "node").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.join(labels.select("node", F.col("label").alias("g")), "node", "left")
     rows = rows.withColumn("g", F.coalesce("g", "node"))
     best = rows.filter("g is not null").groupBy("g").agg(F.min_by(F.struct("id", "label"), F.struct(F.col("id").isNull(), "id", "label")).alias("best"), F.sum("times").alias("size"))
     keep = F.col("g").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("label") == F.col("best.label")))
-    return rows.join(best, "g", "left").select(
-        "id", "label", "times", F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("group_id"), F.coalesce("size", "times").alias("group_size"), keep.alias("keep")
+    return s.finish(
+        rows.join(best, "g", "left").select(
+            "id", "label", "times", F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("group_id"), F.coalesce("size", "times").alias("group_size"), keep.alias("keep")
+        )
     )
 
 
@@ -161,7 +207,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group; rows without words all stay, repeated ones of them once."""
+    """``docs`` with one row of each group and all their columns, whatever their names; rows without words all stay, repeated ones of them
+    once. Ties, nulls, very long texts and an empty table as :func:`groups` says."""
     return keep_rows(docs, groups(docs, key, text).filter("keep"), key, text)
 
 

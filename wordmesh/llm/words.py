@@ -23,9 +23,19 @@ def _hash(word: str) -> int:
     return h
 
 
+def lower(text: str) -> str:
+    """A text in lower case, character by character, so that it stays as long as it was.
+
+    Only the dotted capital I grows by Python's rules, and only a capital sigma depends on what stands around it.
+    """
+    if "\u0130" in text or "\u03a3" in text:
+        text = text.replace("\u0130", "i").replace("\u03a3", "\u03c3")
+    return text.lower()
+
+
 def split(text: str | None) -> list[str]:
     """The words of a text in lower case; none for null."""
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(lower(text)) if text else []
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
