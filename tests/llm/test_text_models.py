@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import AWKWARD, awkward, table, words
+from tests.llm.helpers import AWKWARD, awkward, keeps_private_values, table, with_private_names, words
 from wordmesh.llm import decontaminate, langid, lm_scoring, pii
 from wordmesh.llm.words import split
 
@@ -59,8 +60,91 @@ def test_languages_of_the_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd, even = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")
     got = langid.identify(odd, langid.train(even))
-    assert got.filter("__language = lang").count() >= 0.98 * odd.count()
-    assert got.filter("__ambiguous").count() <= 0.01 * odd.count()
+    assert got.filter("language = lang").count() >= 0.98 * odd.count()
+    assert got.filter("ambiguous").count() <= 0.01 * odd.count()
+
+
+def languages_slow(texts, langs, asked):
+    """Error-correcting output codes on plain dicts: naive Bayes bits over byte n-grams, weighed on the rows held out, loss-weighted decoding."""
+
+    def grams(t):
+        raw = t.lower().encode()
+        return [(n, (int.from_bytes(raw[i : i + n], "big") * 2654435761 % 2**32) >> (32 - langid.HASH_BITS)) for n in langid.ORDERS for i in range(len(raw) - n + 1)]
+
+    names = sorted(set(langs))
+    code = langid.codewords(len(names)).tolist()
+    bits = range(len(code[0]))
+    counts = {(k, n): Counter() for k in names for n in langid.ORDERS}
+    rank = Counter()
+    held = []
+    for t, k in zip(texts, langs):
+        rank[k] += 1
+        held.append(rank[k] % 4 == 0)
+        if not held[-1]:
+            for g in grams(t):
+                counts[k, g[0]][g[1]] += 1
+    total = {c: sum(counts[c].values()) + 0.1 * 2**langid.HASH_BITS for c in counts}
+
+    def weight(b, n, h):
+        p = [(counts[k, n][h] + 0.1) / total[k, n] for k in names]
+        one, zero = ([x for x, c in zip(p, code) if (c[b] > 0) == up] for up in (True, False))
+        return math.log((sum(one) / len(one)) / (sum(zero) / len(zero)))
+
+    def raw_margins(t):
+        found = Counter(grams(t))
+        return [sum(weight(b, *g) * c for g, c in found.items()) / sum(found.values()) for b in bits] if found else None
+
+    own = [(raw_margins(t), code[names.index(k)], out) for t, k, out in zip(texts, langs, held)]
+    centre, spread, trust = [], [], []
+    for b in bits:
+        up, down = ([m[b] for m, c, _ in own if c[b] == s] for s in (1, -1))
+        up, down = sum(up) / len(up), sum(down) / len(down)
+        centre.append((up + down) / 2)
+        spread.append(max((up - down) / 4, 1e-6))
+        test = [((m[b] - centre[b]) / spread[b]) * c[b] <= 0 for m, c, out in own if out]
+        wrong = sum(test) / len(test)
+        trust.append(max(math.log((1 - wrong + 1e-3) / (wrong + 1e-3)), 0.05))
+    answers = []
+    for t in asked:
+        m = raw_margins(t) if t else None
+        if m is None:
+            answers.append((None, 0.0, True))
+            continue
+        loss = sorted((sum(trust[b] / sum(trust) * math.log1p(math.exp(-(m[b] - centre[b]) / spread[b] * c[b])) for b in bits), k) for c, k in zip(code, names))
+        gap = loss[1][0] - loss[0][0]
+        answers.append((loss[0][1], gap, gap < langid.MIN_MARGIN))
+    return answers
+
+
+def test_languages_by_brute_force(spark):
+    """Every row is a training row, in the order of the sample's hashes."""
+    rng = random.Random(21)
+    labelled = [(letters(rng, a, rng.randint(2, 30)), k) for _ in range(9) for k, a in list(ALPHABETS.items())[:4]]
+    mixed = [letters(rng, ALPHABETS["aa"], 12) + " " + letters(rng, ALPHABETS["cc"], 12) for _ in range(6)] + ["x", "", None]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(labelled)] + [(100 + i, t, None) for i, t in enumerate(mixed)], "doc_id bigint, text string, lang string")
+    rows = sorted(langid.training_rows(docs, "doc_id", "text", "lang", 400).collect())
+    asked = [t for t, _ in labelled] + mixed
+    want = languages_slow([r.text for r in rows], [r.lang for r in rows], asked)
+    got = [(r.language, r.margin, r.ambiguous) for r in sorted(langid.languages(docs).collect())]
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-3) and (g[2] == w[2] or abs(w[1] - langid.MIN_MARGIN) < 1e-3)
+
+
+def test_a_language_of_long_texts_only(spark):
+    rng = random.Random(22)
+    rows = [(i, letters(rng, ALPHABETS["aa"], 12), "aa") for i in range(8)] + [(50 + i, letters(rng, ALPHABETS["bb"], 15_000), "bb") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(rows[-1][1]) > 80_000
+    got = {r.doc_id: r.language for r in langid.languages(docs).collect()}
+    assert got == {i: k for i, _, k in rows}
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rng = random.Random(23)
+    docs = spark.createDataFrame([(1, "the same row", "aa")] * 500 + [(i, letters(rng, ALPHABETS["aa"], 5), "aa") for i in range(2, 40)], "doc_id bigint, text string, lang string")
+    rows = langid.training_rows(docs, "doc_id", "text", "lang", 30).collect()
+    assert len(rows) == 30 and sum(r.text == "the same row" for r in rows) <= 1
 
 
 def test_languages_awkward(spark):
@@ -80,38 +164,66 @@ def test_training_is_bounded(spark):
 
 
 def clean_slow(text, items, n=decontaminate.N):
-    grams = {tuple(w[i : i + n]) for w in map(split, items) for i in range(len(w) - n + 1)}
-    w = split(text)
+    low = lambda w: w.replace("\u0130", "i").lower()
+    words_of = lambda t: [low(w) for w in re.findall(r"\w+", t or "")]
+    grams = {tuple(w[i : i + min(n, len(w))]) for w in map(words_of, items) if len(w) >= decontaminate.SHORTEST for i in range(max(1, len(w) - n + 1))}
+    w = words_of(text)
     hit = [False] * len(w)
-    for i in range(len(w) - n + 1):
-        if tuple(w[i : i + n]) in grams:
-            hit[i : i + n] = [True] * n
+    for k in {len(g) for g in grams}:
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in grams:
+                hit[i : i + k] = [True] * k
     if not any(hit):
         return text, 0
     if sum(hit) >= decontaminate.MOST_SHARE * len(w):
         return None, sum(hit)
     out, at = "", 0
-    for m, h in zip(decontaminate.WORD.finditer(text), hit):
+    for m, h in zip(re.finditer(r"\w+", text), hit):
         out += "" if h else text[at : m.end()]
         at = m.end()
     return out + text[at:], sum(hit)
 
 
 def leaks(rng):
-    items = [words(rng, n) for n in (7, 8, 9, 20, 45)]
+    items = [words(rng, n) for n in (4, 7, 8, 9, 20, 45)] + ["a b"]
     texts = [f"{words(rng, 30)}, {rng.choice(items).upper()}! {words(rng, rng.randint(0, 60))}." for _ in range(40)]
-    texts += [" ".join(items[3].split()[2:14]) + " " + words(rng, 90), items[4], *items, words(rng, 200)] + AWKWARD
+    texts += [" ".join(items[4].split()[2:14]) + " " + words(rng, 90), items[5], *items, words(rng, 200)] + AWKWARD
+    texts += [f"\u0130stanbul \u0130zmir \u0130\u0130 {words(rng, 20)} {items[4]} and more words follow here", f"\u039f\u0394\u039f\u03a3 {items[2]} " + words(rng, 40)]
     return items, texts
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 60])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 100, 1])
 def test_decontamination_by_brute_force(spark, limit):
     items, texts = leaks(random.Random(6))
     bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, None, ""])], "item_id bigint, text string")
-    got = {r.doc_id: (r["__clean"], r["__hits"]) for r in decontaminate.scan(table(spark, texts, wide=True), bench, limit=limit).collect()}
+    got = {r.doc_id: (r["clean"], r["hits"]) for r in decontaminate.scan(table(spark, texts).select("doc_id", "text"), bench, limit=limit).collect()}
     assert got == {i: clean_slow(t, items) for i, t in enumerate(texts)}
 
 
+def test_grams_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_window_hashes", lambda w: (w.sum(axis=1) % 2).astype(np.uint64))
+    items, texts = leaks(random.Random(8))
+    g = decontaminate.grams_of(items)
+    assert [int(x.sum()) for x in decontaminate.word_hits(texts, g)] == [clean_slow(t, items)[1] for t in texts]
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_columns_of_private_names_and_string_identifiers(spark, upper):
+    rng = random.Random(25)
+    item = words(rng, 12)
+    texts = [f"{letters(rng, 'abcdee', 30)} {item} {letters(rng, 'abcdee', 30)}", letters(rng, "abcdee", 20), None, ""]
+    docs = with_private_names(spark, texts, upper, string_ids=True)
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and keeps_private_values(kept) and {r.doc_id: r.text for r in kept.collect()} == {f"d00{i}": clean_slow(t, [item])[0] for i, t in enumerate(texts)}
+    assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == ["d000"]
+    known = langid.keep_identified(docs)
+    assert known.columns == docs.columns and keeps_private_values(known) and {r.doc_id for r in known.collect()} == {"d000", "d001"}
+    assert {r.doc_id for r in langid.languages(docs).collect()} == {f"d00{i}" for i in range(4)}
+    assert {r.doc_id for r in lm_scoring.score(docs).collect()} == {f"d00{i}" for i in range(4)}
+    assert pii.identifiers(docs).count() == 0
+
+
 def test_decontaminated_table(spark):
     items, texts = leaks(random.Random(7))
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")

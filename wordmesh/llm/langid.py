@@ -3,8 +3,9 @@
 Each language has a codeword; for each bit of the code a binary classifier over hashed byte n-grams (a naive Bayes model,
 its margin scaled to unit spread) tells the languages with 1 from those with 0. A text's margins are compared with
 every codeword under a logistic loss weighted by how well each bit did on rows held out; the least loss names the language, and
-where the next is nearly as small the text is flagged as ambiguous. The models are fitted on a bounded sample of labelled
-rows, the only bound here; each text is then read whole, in one narrow pass.
+where the next is nearly as small the text is flagged as ambiguous. The models are fitted on a sample of at most ``per_language``
+labelled rows a language, the only bound here: those rows are read whole where they are, and the driver gets their counts of hashed n-grams and
+their margins only. Each text is then read whole, in one narrow pass.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordmesh.llm.common import slices
+from wordmesh.llm.common import Scratch, col, id_types, slices, with_rows
 
 PER_LANGUAGE = 400
-MOST_TRAINING_BYTES = 1 << 16
+#: Shares of so many languages at most are broadcast; those of more are joined.
+BROADCAST_LANGUAGES = 4096
 ORDERS = (2, 3, 4)
 HASH_BITS = 15
 MIN_MARGIN = 0.03
@@ -114,30 +116,28 @@ def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.where(none, -1, best), np.where(none, 0.0, gap)
 
 
-def fit(texts: list[str], languages: list[str]) -> Model | None:
-    """Fits the bits on three of four rows and weighs them on the rest; None where there is no labelled row."""
-    names = sorted(set(languages))
-    if not names:
-        return None
-    code, of = codewords(len(names)), np.array([names.index(x) for x in languages])
-    held = np.arange(len(texts)) % 4 == 3
-    counts = np.zeros((len(ORDERS), len(names), 1 << HASH_BITS))
-    for t, k, out in zip(texts, of, held):
-        if not out:
-            raw = _bytes(pa.array([t]))[0]
-            for o, order in enumerate(ORDERS):
-                counts[o, k] += np.bincount(_codes(raw, order), minlength=1 << HASH_BITS)
+def _count(raw: np.ndarray) -> np.ndarray:
+    """Occurrences of each order's hashed n-grams, order after order."""
+    return np.concatenate([np.bincount(_codes(raw, order), minlength=1 << HASH_BITS) for order in ORDERS])
+
+
+def _uncalibrated(names: list[str], counts: np.ndarray) -> Model:
+    """The bits' weights from the counts (languages x orders x features)."""
+    code = codewords(len(names))
     weights = np.zeros((len(ORDERS), 1 << HASH_BITS, code.shape[1]), np.float32)
     for o in range(len(ORDERS)):
-        p = (counts[o] + 0.1) / (counts[o] + 0.1).sum(axis=1, keepdims=True)
+        p = (counts[:, o] + 0.1) / (counts[:, o] + 0.1).sum(axis=1, keepdims=True)
         for b in range(code.shape[1]):
             one, zero = p[code[:, b] > 0], p[code[:, b] < 0]
             weights[o, :, b] = np.log(one.mean(axis=0) / (zero.mean(axis=0) if len(zero) else one.mean(axis=0)))
-    model = Model(names, code, weights, np.zeros(code.shape[1]), np.ones(code.shape[1]), np.ones(code.shape[1]))
-    m = margins(pa.array(texts), model)
-    ok = ~np.isnan(m).any(axis=1)
+    return Model(names, code, weights, np.zeros(code.shape[1]), np.ones(code.shape[1]), np.ones(code.shape[1]))
+
+
+def _calibrated(model: Model, m: np.ndarray, of: np.ndarray, held: np.ndarray) -> Model:
+    """Centres and scales each bit's margins, and weighs bits by their errors on the rows held out."""
+    code, ok = model.code, ~np.isnan(m).any(axis=1)
     m, of, held = m[ok], of[ok], held[ok]
-    if len(m) and len(names) > 1:
+    if len(m) and len(model.languages) > 1:
         target = code[of]
         up, down = [np.array([m[target[:, b] == s, b].mean() if (target[:, b] == s).any() else 0.0 for b in range(code.shape[1])]) for s in (1, -1)]
         model.bias, model.scale = (up + down) / 2, np.maximum((up - down) / 4, 1e-6)
@@ -147,51 +147,118 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     return model
 
 
+def fit(texts: list[str], languages: list[str]) -> Model | None:
+    """Fits the bits on three of four rows and weighs them on the rest; None where there is no labelled row."""
+    names = sorted(set(languages))
+    if not names:
+        return None
+    of, held = np.array([names.index(x) for x in languages]), np.arange(len(texts)) % 4 == 3
+    counts = np.zeros((len(names), len(ORDERS) << HASH_BITS))
+    for t, k, out in zip(texts, of, held):
+        if not out:
+            counts[k] += _count(_bytes(pa.array([t]))[0])
+    model = _uncalibrated(names, counts.reshape(len(names), len(ORDERS), -1))
+    return _calibrated(model, margins(pa.array(texts), model), of, held)
+
+
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` labelled rows of each language, those of the least hashes of identifier and text, none of more than 64 KB."""
-    order = F.xxhash64(F.lit(11), F.col(key), F.xxhash64(F.col(text)))
-    own = docs.filter(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) <= MOST_TRAINING_BYTES)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("o"))
-    share = own.groupBy("lang").count().select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count")) * 2.0**31).cast("bigint").alias("most"))
-    few = own.join(F.broadcast(share), own["lang"] == share["l"]).filter(F.pmod("o", F.lit(2**31)) < F.col("most")).select("lang", "text", "o")
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("o", "text"))).filter(F.col("rank") <= per_language).orderBy("lang", "rank").select("lang", "text")
+    """(lang, rank, text) of at most ``per_language`` labelled rows of each language: those of the least hashes of identifier and text, whatever their length.
+
+    Repeated rows count once. A share of the hashes that surely holds enough rows is cut off first, by an approximate count of distinct ones.
+    """
+    own = docs.select(col(lang).cast("string").alias("lang"), F.xxhash64(F.lit(11), col(key), F.xxhash64(col(text))).alias("o"), col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
+    share = own.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * 2.0**31).cast("bigint").alias("most"))
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
+    few = own.join(share, own["lang"] == share["l"]).filter(F.pmod("o", F.lit(2**31)) < F.col("most")).groupBy("lang", "o").agg(F.first("text").alias("text"))
+    return few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("o"))).filter(F.col("rank") <= per_language).select("lang", "rank", "text")
+
+
+def _held(rank: pa.Array) -> np.ndarray:
+    return np.asarray(rank) % 4 == 0
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, n): the n-grams of the rows that aren't held out; rows of a language stand together."""
+
+    def batch_of(lang: str, total: np.ndarray) -> pa.RecordBatch:
+        slot = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(slot)), pa.array(slot, pa.int32()), pa.array(total[slot])], names=["lang", "slot", "n"])
+
+    now, total = None, np.zeros(len(ORDERS) << HASH_BITS, np.int64)
+    for b in batches:
+        for lang, held, i in zip(b.column("lang").to_pylist(), _held(b.column("rank")).tolist(), range(b.num_rows)):
+            if lang != now:
+                if total.any():
+                    yield batch_of(now, total)
+                now, total = lang, np.zeros_like(total)
+            if not held:
+                total += _count(_bytes(b.column("text").slice(i, 1))[0])
+    if total.any():
+        yield batch_of(now, total)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    rows = training_rows(docs, key, text, lang, per_language).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    """A model of the table's own labels, None where no row has one. Null texts and labels teach nothing, ties go by hash, repeated rows count once."""
+    s = Scratch(docs.sparkSession, "training")
+    rows = s.table(training_rows(docs, key, text, lang, per_language), "rows")
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not names:
+        return None
+    number = {x: i for i, x in enumerate(names)}
+    counts = np.zeros((len(names), len(ORDERS) << HASH_BITS))
+    found = rows.mapInArrow(_counts, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[[number[x] for x in found["lang"].to_pylist()], found["slot"].to_numpy()] = found["n"].to_numpy()
+    model = _uncalibrated(names, counts.reshape(len(names), len(ORDERS), -1))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                m = margins(b.column("text"), shared.value)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(_held(b.column("rank"))), flat], names=["lang", "held", "m"])
+
+    got = rows.mapInArrow(judged, "lang string, held boolean, m array<double>").toArrow()
+    m = np.array(got["m"].combine_chunks().flatten()).reshape(len(got), -1)
+    model = _calibrated(model, m, np.array([number[x] for x in got["lang"].to_pylist()]), got["held"].to_numpy())
+    s.drop(rows)
+    return model
+
 
+def identify(rows: DataFrame, model: Model | None, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``rows``, one column of which is ``text``, with language, margin and ambiguous, which they must not have.
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with __language, __margin and __ambiguous. A null or too short text, as any text without a model, has
-    no language and is ambiguous; with one language known every other text is of it. Equal texts get equal answers.
+    A null or too short text, as any text without a model, has no language and is ambiguous; with one language known every other
+    text is of it. Equal texts, repeated rows among them, get equal answers; ties between languages go to the first name; very long texts are
+    summed up in blocks, whole; an empty table stays empty.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType(docs.schema.fields + [T.StructField("__language", T.StringType()), T.StructField("__margin", T.DoubleType()), T.StructField("__ambiguous", T.BooleanType())])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType(rows.schema.fields + [T.StructField("language", T.StringType()), T.StructField("margin", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in slices(batch, text):
+            for b in slices(batch, "text"):
                 if m is None:
                     best, gap = np.full(b.num_rows, -1), np.zeros(b.num_rows)
                 else:
-                    best, gap = decode(margins(b.column(text), m), m)
+                    best, gap = decode(margins(b.column("text"), m), m)
                 names = pa.array([m.languages[k] if k >= 0 else None for k in best.tolist()], pa.string())
                 flag = (best < 0) | (gap < min_margin)
-                yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(gap), pa.array(flag)], names=[*b.schema.names, "__language", "__margin", "__ambiguous"])
+                yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(gap), pa.array(flag)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """Each document's language, margin and flag, by a model fitted on the table's own labels."""
+    """Each document's language, margin and flag, by a model fitted on the table's own labels. Identifiers may be null or of any type."""
     model = train(docs, key, text, lang, per_language)
-    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return identify(own, model, "text", min_margin).select("doc_id", F.col("__language").alias("language"), F.col("__margin").alias("margin"), F.col("__ambiguous").alias("ambiguous"))
+    own = docs.select(col(key).cast(id_types(docs, key)[0]).alias("doc_id"), col(text).cast("string").alias("text"))
+    return identify(own, model, min_margin).select("doc_id", "language", "margin", "ambiguous")
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without those that are ambiguous."""
-    columns = docs.columns
-    return identify(docs, train(docs, key, text, lang), text).filter("not __ambiguous").select(columns)
+    """``docs`` without those that are ambiguous; all their columns stay as they are, whatever their names."""
+    rows = with_rows(docs, text=col(text).cast("string"))
+    return identify(rows, train(docs, key, text, lang)).filter("not ambiguous").select("row.*")

@@ -1,9 +1,9 @@
 """Operator 3: token sequences as length-delimited binary records with a separate offset index.
 
 A record is: 8 bytes length, 4 bytes masked CRC-32C of them, payload, 4 bytes masked CRC-32C of the payload, all
-little-endian. The payload is the document's identifier (8 bytes), its number of tokens (4 bytes) and its tokens
-(2 bytes each, or 4 where the vocabulary needs them). Each task writes data files under names of its own and reports
-its records; the index is a Parquet table with Spark's commit protocol, so only what committed attempts wrote is
+little-endian. The payload is a byte of flags, the document's identifier (none for null, 8 bytes for a whole number, 4 bytes
+of length and UTF-8 for a text), its number of tokens (4 bytes) and its tokens (2 bytes each, or 4 where the vocabulary needs
+them). Each task writes data files under names of its own and reports its records; the index is a Parquet table with Spark's commit protocol, so only what committed attempts wrote is
 in it. Data files of lost or repeated attempts are named by no index row and are removed in the end.
 """
 
@@ -22,14 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmesh.llm.common import ranges, scratch, slices
+from wordmesh.llm.common import col, id_types, new_path, ranges, slices
 from wordmesh.llm.tokens import VOCABULARY, encode, ship
 
 FILE_BYTES = 256 << 20
 CHUNK = 64
 MASK = 0xA282EAD8
-INDEX = "file string, record bigint, doc_id bigint, n_tokens int, offset bigint, length bigint, crc bigint"
-_INDEX = pa.schema([("file", pa.string()), ("record", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
+#: Flags of a payload: what its identifier is, and whether tokens are of 4 bytes.
+NULL_ID, INT_ID, TEXT_ID, WIDE = 0, 1, 2, 128
+_INDEX = [("n_tokens", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]
+
+
+def index_sql(kind: str) -> str:
+    return f"file string, record bigint, doc_id {kind}, n_tokens int, offset bigint, length bigint, crc bigint"
 
 
 @lru_cache(maxsize=1)
@@ -122,20 +127,42 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def parse(payload: bytes) -> tuple[int, list[int]]:
-    doc_id, n = struct.unpack("<qI", payload[:12])
-    width = (len(payload) - 12) // n if n else 2
-    return doc_id, np.frombuffer(payload[12:], f"<u{width}").tolist()
+def payload_of(doc_id: int | str | None, tokens: np.ndarray) -> bytes:
+    """One document as bytes; ``tokens`` are of 2 or 4 bytes each."""
+    wide = WIDE if tokens.itemsize == 4 else 0
+    if doc_id is None:
+        head = struct.pack("<B", NULL_ID | wide)
+    elif isinstance(doc_id, int):
+        head = struct.pack("<Bq", INT_ID | wide, doc_id)
+    else:
+        raw = doc_id.encode("utf-8", "surrogatepass")
+        head = struct.pack("<BI", TEXT_ID | wide, len(raw)) + raw
+    return head + struct.pack("<I", len(tokens)) + tokens.tobytes()
+
+
+def parse(payload: bytes) -> tuple[int | str | None, list[int]]:
+    """The identifier and the tokens of a payload."""
+    kind, at, doc_id = payload[0] & ~WIDE, 1, None
+    if kind == INT_ID:
+        (doc_id,), at = struct.unpack_from("<q", payload, 1), 9
+    elif kind == TEXT_ID:
+        (n,) = struct.unpack_from("<I", payload, 1)
+        doc_id, at = payload[5 : 5 + n].decode("utf-8", "surrogatepass"), 5 + n
+    (n,) = struct.unpack_from("<I", payload, at)
+    return doc_id, np.frombuffer(payload, "<u4" if payload[0] & WIDE else "<u2", n, at + 4).tolist()
 
 
 def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the records below ``path``/data, the index to ``path``/index, and returns the index.
 
-    A null or empty text is a record of no tokens; a null identifier is written as -1 and stays null in the index.
-    Repeated rows are each written; an empty table gives an empty index.
+    A null or empty text is a record of no tokens; a null identifier is null in the record and in the index, and identifiers may be of any type.
+    Repeated rows, as ties, are each written; a very long text is one long record; an empty table gives an empty index. Only the two named
+    columns are read, so others' names don't matter.
     """
     spark = docs.sparkSession
     raw = ship(spark, vocabulary)
+    id_name, kind = id_types(docs, key)
+    schema = pa.schema([("file", pa.string()), ("record", pa.int64()), ("doc_id", kind), *_INDEX])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -146,8 +173,7 @@ def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 for b in slices(batch, "text"):
                     flat, n = encode(b.column("text"), raw.value)
                     cast, ends, ids = flat.astype(wide), np.cumsum(n).tolist(), b.column("id").to_pylist()
-                    payloads = [struct.pack("<qI", -1 if i is None else i, k) + cast[e - k : e].tobytes() for i, e, k in zip(ids, ends, n.tolist())]
-                    records, crc = frame(payloads)
+                    records, crc = frame([payload_of(i, cast[e - k : e]) for i, e, k in zip(ids, ends, n.tolist())])
                     if out is None or offset >= file_bytes:
                         if out is not None:
                             out.close()
@@ -157,7 +183,7 @@ def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     size = np.fromiter(map(len, records), np.int64, len(records))
                     at = offset + np.cumsum(size) - size
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(ids)), pa.array(np.arange(record, record + len(ids))), b.column("id"), pa.array(n, pa.int32()), pa.array(at), pa.array(size), pa.array(crc.astype(np.int64))], schema=_INDEX
+                        [pa.array([name] * len(ids)), pa.array(np.arange(record, record + len(ids))), b.column("id"), pa.array(n, pa.int32()), pa.array(at), pa.array(size), pa.array(crc.astype(np.int64))], schema=schema
                     )
                     offset, record = offset + int(size.sum()), record + len(ids)
         finally:
@@ -166,8 +192,9 @@ def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(f"{root}/data", recursive=True)
-    docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    own = docs.select(col(key).cast(id_name).alias("id"), col(text).cast("string").alias("text"))
+    own.mapInArrow(run, index_sql(id_name)).write.parquet(f"{path}/index")
+    index = spark.read.schema(index_sql(id_name)).parquet(f"{path}/index")
     named = {r.file for r in index.select("file").distinct().toLocalIterator()}
     for f in fs.get_file_info(pafs.FileSelector(f"{root}/data")):
         if f.base_name not in named:
@@ -177,6 +204,7 @@ def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def read_records(path: str, index: DataFrame, seed: int | None = None) -> DataFrame:
     """(doc_id, tokens) of the records that ``index`` names, read by offset and checked; shuffled where a seed is given."""
+    name, kind = id_types(index, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -186,15 +214,15 @@ def read_records(path: str, index: DataFrame, seed: int | None = None) -> DataFr
             for r in b.to_pylist():
                 f = opened.get(r["file"]) or opened.setdefault(r["file"], fs.open_input_file(f"{root}/data/{r['file']}"))
                 f.seek(r["offset"])
-                _, t = parse(unframe(f.read(r["length"])))
-                ids.append(r["doc_id"])
+                i, t = parse(unframe(f.read(r["length"])))
+                ids.append(i)
                 tokens.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
     if seed is not None:
         order = F.xxhash64(F.lit(seed), "file", "record")
         index = index.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o").drop("__o")
-    return index.mapInArrow(run, "doc_id bigint, tokens array<int>")
+    return index.mapInArrow(run, f"doc_id {name}, tokens array<int>")
 
 
 def shuffled_batches(index_rows: list, seed: int, size: int) -> Iterator[list]:
@@ -207,5 +235,5 @@ def shuffled_batches(index_rows: list, seed: int, size: int) -> Iterator[list]:
 
 def record_index(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Writes the whole table as records to the shared folder and returns their index."""
-    return write_records(docs, scratch(docs.sparkSession, "records"), key, text, vocabulary)
+    return write_records(docs, new_path(docs.sparkSession, "records"), key, text, vocabulary)
 
