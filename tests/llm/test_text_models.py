@@ -274,6 +274,17 @@ def test_scores_by_brute_force(spark, monkeypatch):
             assert got[i][0] == len(split(t)) and got[i][1] == (None if want[i] is None else pytest.approx(want[i], abs=2e-3))
 
 
+@pytest.mark.parametrize(("coarse", "buckets"), [(2, 5), (12, 17), (12, 23)])
+def test_scores_by_way_of_fine_buckets(spark, monkeypatch, coarse, buckets):
+    """More buckets than a batch is split into, up to as many as some 10^13 words would ask for."""
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))) for _ in range(30)] + [None, ""]
+    monkeypatch.setattr(lm_scoring, "BATCH_WORDS", 40)
+    monkeypatch.setattr(lm_scoring, "COARSE_BITS", coarse)
+    got = {r.doc_id: r.log_score for r in lm_scoring.score(table(spark, texts), bucket_grams=sum(len(split(t)) for t in texts) / 2**buckets).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if w is None else pytest.approx(w, abs=2e-3) for w in scores_slow(texts)]
+
+
 def test_scores_awkward(spark):
     docs = awkward(spark)
     got = lm_scoring.score(docs)
