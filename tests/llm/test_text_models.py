@@ -350,6 +350,42 @@ def test_values_between_separators():
         assert {c[2]: c[3] for c in found} == want and all(text[c[0] : c[1]] == c[2] for c in found)
 
 
+def test_secrets_without_digits(spark):
+    texts = ["the password: correcthorsebattery is old", 'api_key = "abcdefghijklmnop"', "the key: understanding is all", "password: short", "token: abcdefghijkl"]
+    got = [tuple(g)[:6] for g in sorted(map(tuple, pii.identifiers(table(spark, texts)).collect()))]
+    assert [(g[0], g[3], g[4], g[5]) for g in got] == [(0, "correcthorsebattery", "secret", "seed"), (1, "abcdefghijklmnop", "secret", "seed"), (4, "abcdefghijkl", "secret", "seed")]
+    assert all(texts[g[0]][g[1] : g[2]] == g[3] for g in got)
+
+
+def test_contexts_are_whole_words():
+    long = "x" * 300
+    assert pii.context_of(f"one {long} two 77", len(long) + 9) == f"{long} two" and pii.context_of("ab 1", 3) == "ab" and pii.context_of("1", 0) == ""
+    assert pii.context_of("a" * 50 + " " + "b" * 40 + " " * 90 + "7", 181) == "a" * 50 + " " + "b" * 40
+
+
+def test_planted_identifiers_are_found_where_they_stand(spark):
+    """Identifiers made by rules of their own, between separators of all kinds, and nothing else."""
+    rng = random.Random(31)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = {
+        "email": lambda: f"{words(rng, 1)}.{words(rng, 1)}{digits(2)}@{words(rng, 1)}.example.org",
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "phone": lambda: f"+{rng.randint(1, 99)} ({rng.randint(200, 999)}) 555-{digits(4)}",
+        "ssn": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "card": lambda: with_check("4" + "".join(rng.choice("123456789") for _ in range(14))),
+        "key": lambda: "AKIA" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(16)),
+    }
+    texts, want = [], set()
+    for i in range(60):
+        kind = rng.choice(list(made))
+        value = made[kind]()
+        head = f"{words(rng, rng.randint(0, 9))}{rng.choice([' ', ' (', ' [', chr(10), ' \"', ', '])}"
+        texts.append(f"{head}{value}{rng.choice([' ', ') ', '], ', chr(10), chr(34) + ' ', '; '])}{words(rng, 3)}")
+        want.add((i, len(head), len(head) + len(value), value, kind))
+    got = {g[:5] for g in map(tuple, pii.identifiers(table(spark, texts)).collect()) if g[5] == "seed"}
+    assert got == want
+
+
 def test_words_in_confident_contexts(spark):
     texts = [f"the password : {v} is it" for v in ("a9f86d081884c7d65x", "b9f86d081884c7d65x", "c9f86d081884c7d65x", "d9f86d081884c7d65x", "openSesame", "openSesame")]
     texts += ["mail me jane%d@x.com" % i for i in range(4)] + [f"mail me {w} openSesame" for w in ("now", "soon", "often", "again", "never")]

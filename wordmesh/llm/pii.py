@@ -1,6 +1,6 @@
 """Operator 8: personal identifiers by bootstrapped contextual extraction.
 
-Candidates are the values of a text, parted by white space and separators, that hold a digit or an @. Seeds are those that a validator accepts (mail address,
+Candidates are the values of a text, parted by white space and separators, that hold a digit or an @, and what stands behind a secret's name. Seeds are those that a validator accepts (mail address,
 dotted IP address, phone number, social security number, card number with a right check digit, key with a known prefix,
 value after a secret's name); plain short numbers, decimals, times and dates are known not to be identifiers. Digit groups
 a space apart that make one number are one candidate. Each candidate stands in lexical patterns: its shape,
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmesh.llm.common import materialize, slices
+from wordmesh.llm.common import Scratch, col, id_types, slices
 
 ROUNDS = 4
 LEAST_PATTERN = 0.6
@@ -36,6 +36,8 @@ _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d
 _PHONE = re.compile(r"\+\d{1,3} ?\(?\d{2,4}\)?[ -]\d{3}[ -]\d{3,4}")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _SECRET = re.compile(r"(?i)(token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[:=]\s*[\"']?$")
+#: A secret without a digit: a name that leaves little doubt ("key" does), and 12 characters or more.
+_CUE = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key)[\"']?\s*[:=]\s*[\"']?(?=[^\s\"'<>&;,]{12})")
 _LOCAL_PHONE = re.compile(r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}")
 _SSN = re.compile(r"(?!000|666|9)\d{3}([ -])(?!00)\d\d\1(?!0000)\d{4}")
 _DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
@@ -53,6 +55,7 @@ _INNER = re.compile(r"[^:,()]+")
 _COLONS = re.compile(r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}|\d{4}-\d\d-\d\dT[\d:.]+(?:Z|[+-]\d\d:?\d\d)?")
 _WORD = re.compile(r"\w+|[=:]")
 _CARD_GROUPS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+_AFTER = re.compile(r"\W*(\w+)")
 _YEAR = re.compile(r"(?:1\d|20)\d\d")
 _PART = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{16,}|\d+|[^\W\d_]+|.", re.S)
 
@@ -201,17 +204,37 @@ def candidates_of(text: str) -> list[tuple[int, int, str, str | None, list[str]]
             value = text[a:z]
             if _MARK.search(value):
                 out.append((a, z, value, *_described(text, a, z)))
+    out += [(a, z, text[a:z], "secret", _described(text, a, z)[1]) for a, z in cued(text)]
+    return out
+
+
+def cued(text: str) -> list[tuple[int, int]]:
+    """The values without a digit or @ behind a secret's name."""
+    out = []
+    for m in _CUE.finditer(text) if ":" in text or "=" in text else ():
+        a = z = m.end()
+        while z < len(text) and not text[z].isspace():
+            z += 1
+        b, e = next(iter(pieces(text, a, z)), (z, z))
+        if b == a and e - b >= 12 and not _MARK.search(text, b, e):
+            out.append((b, e))
     return out
 
 
 def context_of(text: str, a: int) -> str:
-    """The two words before a place; = and : count as words."""
-    return " ".join(_WORD.findall(text[max(0, a - 60) : a].lower())[-2:])
+    """The two words before a place, whole, however far back they begin; = and : count as words."""
+    size = 60
+    while True:
+        start = max(0, a - size)
+        found = [m.group() for m in _WORD.finditer(text[start:a].lower()) if m.start() or not start]
+        if len(found) > 1 or not start:
+            return " ".join(found[-2:])
+        size *= 4
 
 
 def words_of(text: str, contexts: dict[str, set[str]]) -> list[tuple[int, int, str, str]]:
     """(start, end, value, context) of the values without a digit or @ that stand in one of the contexts, given by their last word."""
-    out, last = [], None
+    out, last, known = [], None, set(cued(text))
     for m in _WORD.finditer(text):
         word, before, a = m.group().lower(), last, m.start()
         last = word
@@ -222,28 +245,36 @@ def words_of(text: str, contexts: dict[str, set[str]]) -> list[tuple[int, int, s
             while z < len(text) and not text[z].isspace():
                 z += 1
             b, e = next(iter(pieces(text, a, z)), (z, z))
-            if b == a and e - b > 1 and not _MARK.search(text, b, e):
+            if b == a and e - b > 1 and not _MARK.search(text, b, e) and (b, e) not in known:
                 out.append((b, e, text[b:e], context))
     return out
 
 
 def _described(text: str, a: int, z: int) -> tuple[str | None, list[str]]:
     """The seed type and the patterns of the value at a place."""
-    value, before, behind = text[a:z], text[max(0, a - 60) : a], text[z : z + 40]
+    value, before = text[a:z], text[max(0, a - 60) : a]
     rough = shape(value, True)
     patterns = ["S " + shape(value)]
     if context := context_of(text, a):
         patterns.append(f"L {context} {rough}")
-    if after := re.match(r"\W*(\w+)", behind.lower()):
-        patterns.append(f"R {rough} {after.group(1)}")
+    if after := _AFTER.match(text, z):
+        patterns.append(f"R {rough} {after.group(1).lower()}")
     if "@" in value:
         patterns.append("T @" + ".".join(value.rsplit("@", 1)[1].lower().split(".")[-2:]))
     return seed_type(value, before), patterns
 
 
+_OCCURRENCE = [("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
+
+
+def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(col(key).cast(id_types(docs, key)[0]).alias("id"), col(text).cast("string").alias("text"))
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, value, seed, patterns, context) of all candidates."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string())), ("context", pa.string())])
+    name, kind = id_types(docs, key)
+    schema = pa.schema([("doc_id", kind), *_OCCURRENCE, ("seed", pa.string()), ("patterns", pa.list_(pa.string())), ("context", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +282,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 rows = [(i, *c, context_of(t, c[0])) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) if t for c in candidates_of(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, start int, `end` int, value string, seed string, patterns array<string>, context string")
+    return _own(docs, key, text).mapInArrow(run, f"doc_id {name}, start int, `end` int, value string, seed string, patterns array<string>, context string")
 
 
 def word_occurrences(docs: DataFrame, contexts: dict[str, int], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +291,8 @@ def word_occurrences(docs: DataFrame, contexts: dict[str, int], key: str = "doc_
     A context comes with the number of distinct words that it bears; a task that has seen more of them gives no further
     rows for it, as those it gave settle that the context isn't confident.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("context", pa.string())])
+    name, kind = id_types(docs, key)
+    schema = pa.schema([("doc_id", kind), *_OCCURRENCE, ("context", pa.string())])
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,27 +317,27 @@ def word_occurrences(docs: DataFrame, contexts: dict[str, int], key: str = "doc_
                 known = {w: cs for w, cs in known.items() if cs}
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, start int, `end` int, value string, context string")
+    return _own(docs, key, text).mapInArrow(run, f"doc_id {name}, start int, `end` int, value string, context string")
 
 
-def words_in_context(docs: DataFrame, found: DataFrame, scores: DataFrame, key: str, text: str) -> DataFrame | None:
+def words_in_context(docs: DataFrame, found: DataFrame, scores: DataFrame, key: str, text: str, s: Scratch) -> DataFrame | None:
     """Identifiers without a digit or @: what stands where nearly all else is an identifier. Each distinct word counts against its context."""
     seen = found.select("value", "context").filter("context <> ''").distinct().join(scores, "value")
     yes = F.coalesce(F.sum(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0))
     rest = F.count_if(F.col("negative")) + UNKNOWN_WEIGHT * F.count_if(~F.col("negative") & (F.col("score") <= 0))
     contexts = seen.groupBy("context").agg(yes.alias("yes"), rest.alias("rest"), F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    good = materialize(contexts.filter((F.col("yes") >= LEAST_SUPPORT) & (F.col("yes") / (F.col("yes") + F.col("rest")) >= LEAST_PATTERN)), "contexts")
+    good = s.table(contexts.filter((F.col("yes") >= LEAST_SUPPORT) & (F.col("yes") / (F.col("yes") + F.col("rest")) >= LEAST_PATTERN)), "contexts")
     most = F.floor(F.col("yes") / LEAST_PATTERN - F.col("yes") - F.col("rest")).cast("int") + 1
     names = {r[0]: r[1] for r in good.select("context", most).toLocalIterator()}
     if not names:
         return None
-    words = materialize(word_occurrences(docs, names, key, text), "words")
+    words = s.table(word_occurrences(docs, names, key, text), "words")
     counted = good.join(words.groupBy("context").agg(F.count_distinct("value").alias("words")), "context")
     sure = counted.withColumn("c", F.col("yes") / (F.col("yes") + F.col("rest") + F.col("words"))).filter(F.col("c") >= LEAST_PATTERN)
     given = sure.select("context", "kind", (F.least("c", F.lit(0.999)) * 0.95).alias("given")).filter(F.col("given") >= LEAST_INSTANCE)
     return words.join(given, "context").select("doc_id", "start", "end", "value", "kind", F.lit("pattern").alias("found_by"), F.round("given", 6).alias("confidence"))
 
+
 def score_patterns(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """(pattern, confidence, kind): against instances known to be none, and the unknown at a small weight."""
     known = edges.join(scores, "value")
@@ -326,13 +357,15 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
 
     start and end count characters. Words without a digit or @ are reported only where they stand in a confident context. found_by is 'seed', or 'pattern' for what only the patterns gave. Each distinct value
     counts once for a pattern however often it occurs; ties between kinds go to the later name. Null and empty texts have
-    none; null identifiers stay null; repeated rows report each their own; an empty table gives no rows.
+    none; null identifiers stay null, and identifiers may be of any type; repeated rows report each their own; very long texts are read whole; an
+    empty table gives no rows. Only the two named columns are read, so others' names don't matter.
     """
-    found = materialize(occurrences(docs, key, text), "candidates")
+    s = Scratch(docs.sparkSession, "identifiers")
+    found = s.table(occurrences(docs, key, text), "candidates")
     values = found.groupBy("value").agg(F.max(F.when(F.col("seed") != "", F.col("seed"))).alias("seed"), F.bool_or(F.coalesce(F.col("seed") == "", F.lit(False))).alias("plain"))
     negative = F.col("plain") & F.col("seed").isNull()
-    base = materialize(values.select("value", "seed", negative.alias("negative")), "values")
-    edges = materialize(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    base = s.table(values.select("value", "seed", negative.alias("negative")), "values")
+    edges = s.table(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
     scores = base.select("value", "negative", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"), F.col("seed").alias("kind"))
     for r in range(rounds):
         patterns = score_patterns(edges, scores)
@@ -340,8 +373,9 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
             (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)) * 0.95)))).alias("given"), F.max_by("kind", F.struct("confidence", "kind")).alias("k")
         )
         new = F.when(F.col("seed").isNotNull(), F.lit(1.0)).when(F.col("negative") | F.col("given").isNull() | (F.col("given") < LEAST_INSTANCE), F.lit(0.0)).otherwise(F.col("given"))
-        scores = materialize(base.join(given, "value", "left").select("value", "negative", new.alias("score"), F.coalesce("seed", F.when(new > 0, F.col("k"))).alias("kind")), f"scores{r}")
+        old, scores = scores, s.table(base.join(given, "value", "left").select("value", "negative", new.alias("score"), F.coalesce("seed", F.when(new > 0, F.col("k"))).alias("kind")), f"scores{r}")
+        s.drop(old)
     good = scores.filter("score > 0").join(base.select("value", F.col("seed").alias("s")), "value").select("value", "kind", "score", F.when(F.col("s").isNotNull(), "seed").otherwise("pattern").alias("found_by"))
     marked = found.join(good, "value").select("doc_id", "start", "end", "value", "kind", "found_by", F.round("score", 6).alias("confidence"))
-    words = words_in_context(docs, found, scores, key, text)
-    return marked if words is None else marked.unionByName(words)
+    words = words_in_context(docs, found, scores, key, text, s)
+    return s.finish(marked if words is None else marked.unionByName(words))
