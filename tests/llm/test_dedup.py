@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,7 +174,10 @@ def repeats_slow(texts, n=substrings.MIN_WORDS):
     return sorted(out)
 
 
-def test_repeats_by_brute_force(spark):
+@pytest.mark.parametrize("rows", [substrings.GROUP_ROWS, 40, 6, 1])
+def test_repeats_by_brute_force(spark, monkeypatch, rows):
+    """Also with groups so small that prefixes grow, up to whole windows."""
+    monkeypatch.setattr(substrings, "GROUP_ROWS", rows)
     rng = random.Random(11)
     passages = [words(rng, n) for n in (49, 50, 51, 60, 120, 400)]
     texts = [" ".join([words(rng, rng.randint(0, 70)), rng.choice(passages), words(rng, rng.randint(0, 90)), rng.choice(passages)]) for _ in range(30)]
@@ -184,20 +186,32 @@ def test_repeats_by_brute_force(spark):
     assert got == repeats_slow(texts)
 
 
-def test_small_groups_give_the_same_runs(monkeypatch):
-    rng = random.Random(12)
-    passages = [words(rng, 90) for _ in range(6)]
-    rows = []
-    for i in range(60):
-        w = f"{words(rng, 40)} {rng.choice(passages)} {words(rng, 60)}".split()
-        at, prefix = substrings.anchors_of(w)
-        rows += [(int(h), " ".join(w[p : p + substrings.MIN_WORDS]), " ".join(w[max(0, p - substrings.LEFT) : p]), i, 0, int(p)) for p, h in zip(at.tolist(), (prefix >> 1).tolist())]
-    rows.sort()
-    batch = pa.RecordBatch.from_pylist([dict(zip(("prefix", "behind", "before", "id", "label", "pos"), r)) for r in rows])
-    runs = lambda: sorted(tuple(r.values()) for b in substrings._subtrees(iter([batch])) for r in b.to_pylist())
-    whole = runs()
-    monkeypatch.setattr(substrings, "GROUP_ROWS", 3)
-    assert runs() == whole and len(whole) > 100
+def test_no_task_holds_more_than_a_group(spark, monkeypatch):
+    """One passage in thousands of documents, each with surroundings of its own: groups are of bounded size at every length of prefix."""
+    monkeypatch.setattr(substrings, "GROUP_ROWS", 50)
+    rng = random.Random(13)
+    passage = words(rng, 70)
+    own = lambda n: " ".join(f"u{rng.randrange(10**12)}" for _ in range(n))
+    texts = [f"{own(35)} {passage} {own(55)}" for _ in range(3000)]
+    held, table_of = [], Scratch.table
+
+    def spy(self, df, name):
+        out = table_of(self, df, name)
+        if name == "counted":
+            held.append(out.filter(f"rows <= {substrings.GROUP_ROWS}").groupBy("group").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", spy)
+    got = substrings.repeats(table(spark, texts)).collect()
+    assert {(r.start_word, r.end_word, r.copies) for r in got} == {(35, 105, 3000)} and [r.doc_id for r in got if r["first"]] == [0] and len(got) == 3000
+    assert len(held) == 5 and max(held) <= 50
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_repeats_with_private_names_and_string_identifiers(spark, upper):
+    text = words(random.Random(14), 60)
+    got = sorted(map(tuple, substrings.repeats(with_private_names(spark, [text, words(random.Random(15), 60), text, None], upper, string_ids=True)).collect()))
+    assert got == [("d000", 0, 60, 2, True), ("d002", 0, 60, 2, False)]
 
 
 def test_repeats_awkward(spark):
@@ -212,5 +226,7 @@ def test_repeats_awkward(spark):
 
 def test_repeated_rows_are_first_once(spark):
     text = " ".join(f"w{i}" for i in range(60))
+    void = sorted(map(tuple, substrings.repeats(table(spark, [text] * 40 + [text], ids=[None] * 40 + [3])).collect()), key=str)
+    assert void == [(3, 0, 60, 41, True), (None, 0, 60, 41, False)]
     got = sorted(map(tuple, substrings.repeats(table(spark, [text, text, text], ids=[1, 1, 2])).collect()))
     assert got == [(1, 0, 60, 3, True), (2, 0, 60, 3, False)]
