@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +34,13 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/wordmesh/{spark.sparkContext.applicationId}"
 
 
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of this application that was never given before."""
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -86,6 +90,15 @@ class Scratch:
         self._held.append((out, path))
         return out
 
+    def settle(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """Writes what ``make`` gives and removes the results of operators that were written on the way."""
+        before = len(_given)
+        out = self.table(make(), name)
+        for path in _given[before:]:
+            remove(self.spark, path)
+        del _given[before:]
+        return out
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             for held in [x for x in self._held if x[0] is t]:
