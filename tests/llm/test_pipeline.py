@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from tests.llm.helpers import awkward, table, words
 from wordmesh.llm import near_dedup, tokens
+from wordmesh.llm.common import materialize
 from wordmesh.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -23,7 +24,7 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        left = corpus_pipeline.materialize(stage(spark, left, str(tmp_path)), name)
+        left = materialize(stage(spark, left, str(tmp_path)), name)
         assert left.columns == docs.columns
     texts = {r.doc_id: r.text for r in left.collect()}
     assert {i: texts.get(i) for i in range(20)} == dict(enumerate(clean))
