@@ -38,7 +38,7 @@ def case_class(label: Column) -> Column:
     first = F.substring(label, 1, 1)
     parts = F.array(
         F.when(F.lower(label) == label, "lower").otherwise("mixed"),
-        F.when(F.upper(label) == label, "upper"),
+        F.when(F.upper(F.replace(label, F.lit("\u00df"), F.lit(""))) == F.replace(label, F.lit("\u00df"), F.lit("")), "upper"),
         F.when(first.rlike(r"^\p{Lu}$"), "title"),
     )
     return F.concat_ws("+", F.array_compact(parts))

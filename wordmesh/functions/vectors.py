@@ -5,7 +5,6 @@ Cosines divide with try_divide: a zero vector has no score (null), and NaN never
 
 from __future__ import annotations
 
-import math
 import struct
 
 import pandas as pd
@@ -75,18 +74,19 @@ def signature(a: Column, b: Column) -> Column:
     return F.struct(*[p.alias(n) for p, n in zip(parts, METRICS)])
 
 
-def angle_of(metrics: list[Column], dims: int) -> Column:
+def angle_of(metrics: list[Column], dims: Column) -> Column:
     """Cosine of a signature, taken as a vector of ``dims``, with the unit vector: sum over root of dims times norm."""
     total = squares = F.lit(0.0)
     for c in metrics:
         total, squares = total + c, squares + c * c
-    return F.try_divide(total, F.lit(math.sqrt(dims)) * F.sqrt(squares))
+    return F.try_divide(total, F.sqrt(dims) * F.sqrt(squares))
 
 
 def angle_key(vector: Column) -> Column:
     """Key of a sparse vector of unit norm: the angle of its signature against the unit vector, in closed form.
 
-    Built from the values in the order of their indices, so equal vectors have bit-equal keys.
+    Rounded to 12 decimals, which is far finer than keys of different vectors differ: words of the same letters in another order can have keys
+    that are equal but for the order in which floating-point numbers were added.
     """
     values, dims = vector["values"], vector["size"].cast("double")
     u = 1.0 / F.sqrt(dims)
@@ -96,11 +96,7 @@ def angle_key(vector: Column) -> Column:
     cos = F.greatest(F.least(F.coalesce(F.try_divide(d, na), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
     euclid = F.sqrt(F.greatest(na * na + 1 - 2 * d, F.lit(0.0)))
     manhattan_ = _sum(F.transform(values, lambda v: F.abs(v - u))) + (dims - nnz) * u
-    parts = [cos, F.acos(cos), d, na, F.lit(1.0), euclid, manhattan_, d, nnz, nnz / dims]
-    total = squares = F.lit(0.0)
-    for p in parts:
-        total, squares = total + p, squares + p * p
-    return F.try_divide(total, F.sqrt(dims) * F.sqrt(squares))
+    return F.round(angle_of([cos, F.acos(cos), d, na, F.lit(1.0), euclid, manhattan_, d, nnz, nnz / dims], dims), 12)
 
 
 def sparse_cosine(a: Column, b: Column) -> Column:

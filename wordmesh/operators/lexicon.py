@@ -40,8 +40,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookups(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", column: str = "text", options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
-    """(doc_id, pos, label, missing, mutual): each word against the vector stored under its angle."""
+    """(doc_id, label, n, pos, missing, mutual): each document's distinct words, how often and where first, against the vector stored under the word's angle.
+
+    A document has one row for a word however often it says it, so frequent words cost a row a document, and Spark splits their partitions.
+    """
     own = text.tokens(docs.select(F.col(key).alias("doc_id"), F.col(column).alias("text")), "text", "doc_id")
+    own = own.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     stored = lexicon.select("angle", F.col("vector").alias("stored"))
     keyed = keyed_labels(own, options.dims).join(stored, "angle", "left")
     mutual = F.when(F.col("stored").isNotNull(), vectors.sparse_cosine(F.col("vector"), F.col("stored")))
@@ -56,7 +60,8 @@ def validate_docs(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", colu
     """
     found = lookups(docs, lexicon, key, column, options)
     low = F.min(F.when(F.col("mutual") < 1, F.struct("mutual", "pos", "label")))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("missing").alias("missing"), F.count_if(F.col("mutual") < options.identity).alias("collisions"), low.alias("low")).select(
+    times = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("tokens"), times(F.col("missing")).alias("missing"), times(F.col("mutual") < options.identity).alias("collisions"), low.alias("low")).select(
         "doc_id", "tokens", "missing", "collisions", F.coalesce("low.mutual", F.lit(1.0)).alias("lowest"), F.coalesce("low.label", F.lit("")).alias("lowest_label")
     )
 

@@ -12,6 +12,7 @@ from wordmesh.config import GraphOptions
 from wordmesh.functions import features, hashing, text, vectors
 from wordmesh.functions.storage import materialize, shared_dir
 from wordmesh.operators import graph, kv, lexicon
+from wordmesh.plans import vector_sql
 from wordmesh.sources import dumps
 from wordmesh.sources.dumps import table
 
@@ -19,11 +20,15 @@ DIMS = 512
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_TOKENS = f"(SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS label FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}') AS t FROM documents))"
+def _words_sql(table: str, column: str, *keys: str) -> str:
+    """(keys..., pos, label) of the words of a table's column."""
+    k = "".join(f"{x}, " for x in keys)
+    return f"(SELECT {k}unnest(range(len(t))) AS pos, unnest(t) AS label FROM (SELECT {k}regexp_extract_all(regexp_replace({column}, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}') AS t FROM {table}))"
+
+
+_TOKENS = _words_sql("documents", "text", "doc_id")
 _LABELS = f"(SELECT DISTINCT label FROM {_TOKENS})"
-_ASCII = f"(SELECT label FROM {_LABELS} WHERE regexp_full_match(label, '[\\x01-\\x7f]+'))"
-_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, {units}), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
-_UNITS = "list_transform(string_split({s}, ''), lambda c: unicode(c)::UHUGEINT)"
+_FNV, _UNITS = vector_sql.FNV, vector_sql.UNITS
 
 
 def query(sql: str | None = None) -> Callable:
@@ -42,9 +47,8 @@ def _tokens(spark: SparkSession, d: str, name: str = "documents", column: str =
     return text.tokens(table(spark, d, name), column, *keys)
 
 
-def _labels(spark: SparkSession, d: str, ascii_only: bool = False) -> DataFrame:
-    labels = _tokens(spark, d).select("label").distinct()
-    return labels.filter(F.col("label").rlike(r"^[\x01-\x7f]+$")) if ascii_only else labels
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).select("label").distinct()
 
 
 # --- text ---
@@ -70,15 +74,16 @@ def token_len_bucket(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).groupBy(text.length_bucket(F.col("label")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT label, concat_ws('+', CASE WHEN lower(label) = label THEN 'lower' ELSE 'mixed' END, CASE WHEN upper(label) = label THEN 'upper' END,
-CASE WHEN regexp_matches(label, '^[A-Z]') THEN 'title' END) AS class FROM {_ASCII}""")
+@query(f"""SELECT label, concat_ws('+', CASE WHEN lower(label) = label THEN 'lower' ELSE 'mixed' END, CASE WHEN replace(upper(replace(label, 'ß', '')), 'ß', '') = replace(label, 'ß', '') THEN 'upper' END,
+CASE WHEN regexp_matches(label, '^\\p{{Lu}}') THEN 'title' END) AS class FROM {_LABELS}""")
 def token_case_class(spark: SparkSession, d: str) -> DataFrame:
-    return _labels(spark, d, True).select("label", text.case_class(F.col("label")).alias("class"))
+    """All labels; a sharp s has no upper case of its own length, so it is as it is."""
+    return _labels(spark, d).select("label", text.case_class(F.col("label")).alias("class"))
 
 
-@query(f"SELECT label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '[^a-zA-Z]', chr(1), 'g'), '[aeiouyAEIOUY]', chr(2), 'g'), '[a-zA-Z]', 'C', 'g'), chr(1), 'X', 'g').replace(chr(2), 'V') AS pattern FROM {_ASCII}")
+@query(f"SELECT label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '[^\\p{{L}}]', chr(1), 'g'), '[aeiouyAEIOUY]', chr(2), 'g'), '\\p{{L}}', 'C', 'g'), chr(1), 'X', 'g').replace(chr(2), 'V') AS pattern FROM {_LABELS}")
 def vc_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return _labels(spark, d, True).select("label", text.vowel_pattern(F.col("label")).alias("pattern"))
+    return _labels(spark, d).select("label", text.vowel_pattern(F.col("label")).alias("pattern"))
 
 
 _KINDS = {"letter": r"\p{L}", "number": r"\p{N}", "symbol": r"[\p{Sc}\p{Sk}\p{So}]", "math": r"\p{Sm}", "mark": r"\p{M}", "punctuation": r"\p{P}"}
@@ -146,48 +151,73 @@ def is_number_token(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).select("label", text.is_number(F.col("label")).alias("number"))
 
 
-@query(f"""SELECT label, number, CASE WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?') THEN CAST(label AS DOUBLE) <= 180
-WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?[nsNS]') THEN CAST(left(label, length(label) - 1) AS DOUBLE) <= 90
-WHEN regexp_full_match(label, '[0-9]+([eE][0-9]+)?[ewEW]') THEN CAST(left(label, length(label) - 1) AS DOUBLE) <= 180 ELSE false END AS geo
-FROM (SELECT label, regexp_full_match(label, '[0-9]+([eE][0-9]+)?') OR lower(label) IN ('infinity', 'nan') AS number FROM {_LABELS})""")
+@query(f"SELECT label, {vector_sql.NUMBER} AS number, {vector_sql.GEO} AS geo FROM {_LABELS}")
 def is_geo_token(spark: SparkSession, d: str) -> DataFrame:
     return features.geo_flags(_labels(spark, d))
 
 
 # --- word vectors ---
 
-_PART_WORDS = f"(SELECT DISTINCT unnest(regexp_extract_all(p_name, '{text.SQL_WORDS}')) AS label FROM part)"
 
+def _shown(angle: F.Column) -> F.Column:
+    """A key of 12 decimals with 9, moved off the edges of rounding, where engines differ."""
+    return F.round(angle + 1.3e-13, 9)
 
-@query()
+
+@query(f"WITH {vector_sql.vectors(_LABELS)}, {vector_sql.angles()} SELECT label, {DIMS} AS size, CAST(nnz AS INTEGER) AS nnz, 1.0::DOUBLE AS norm, round(total, 6) AS total, round(weighted, 4) AS weighted, round(angle + 1.3e-13, 9) AS angle FROM ang")
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return features.vectors(_tokens(spark, d, "part", "p_name"), "label", DIMS)
+    """The vectors of all words of the documents: their entries, norm, sum, sum weighted by index, and angle key."""
+    v = F.col("vector")
+    pairs = F.zip_with(v["indices"], v["values"], lambda i, x: (i + 1) * x)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    found = lexicon.keyed_labels(_tokens(spark, d), DIMS)
+    return found.select(
+        "label", v["size"].alias("size"), F.size(v["indices"]).alias("nnz"), F.round(vectors.norm(v["values"]), 9).alias("norm"),
+        F.round(add(v["values"]), 6).alias("total"), F.round(add(pairs), 4).alias("weighted"), _shown(F.col("angle")).alias("angle"),
+    )
+
+
+_PART_WORDS = f"(SELECT DISTINCT unnest(regexp_extract_all(p_name, '{text.SQL_WORDS}')) AS label FROM part)"
 
 
-@query(f"SELECT label, 1.0::DOUBLE AS norm FROM {_LABELS}")
-def token_vector_norm(spark: SparkSession, d: str) -> DataFrame:
-    return features.vectors(_tokens(spark, d), "label", DIMS).select("label", F.round(vectors.norm(F.col("vector.values")), 9).alias("norm"))
+@query(f"WITH {vector_sql.vectors(_PART_WORDS)} SELECT label, idx, round(val, 7) AS val FROM vec")
+def token_vector_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry of the vectors of a small vocabulary's words."""
+    return vectors.long_form(features.vectors(_tokens(spark, d, "part", "p_name"), "label", DIMS), "vector", "label").withColumn("val", F.round("val", 7))
 
 
-@query(f"SELECT label, {DIMS} AS size, true AS same FROM {_PART_WORDS}")
+@query(f"SELECT label, {DIMS} AS size, true AS same FROM {_words_sql('conversations', 'text')} GROUP BY label")
 def vector_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    coded = token_vectors(spark, d).withColumn("back", vectors.decode_column(vectors.encode_column(F.col("vector")), DIMS))
+    coded = features.vectors(_tokens(spark, d, "conversations"), "label", DIMS).withColumn("back", vectors.decode_column(vectors.encode_column(F.col("vector")), DIMS))
     return coded.select("label", "back.size", (F.col("back") == F.col("vector")).alias("same"))
 
 
-@query()
+_FIRST_LAST = f"""w AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}') AS t FROM conversations),
+ends AS (SELECT a.conv_id, a.turn, list_concat(a.t, b.t) AS t FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+pairs AS (SELECT conv_id, turn, t[1] AS a, t[-1] AS b FROM ends)"""
+
+
+@query(f"""WITH {_FIRST_LAST}, {vector_sql.vectors('SELECT a AS label FROM pairs UNION SELECT b FROM pairs')}
+SELECT conv_id, turn, round(sum(x.val * y.val), 6) AS score FROM pairs LEFT JOIN vec x ON x.label = a LEFT JOIN vec y ON y.label = b AND y.idx = x.idx GROUP BY conv_id, turn""")
 def compare_first_last(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.compare(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn", left="role", right="text", dims=DIMS)
+    """Each turn's text with the next one's."""
+    turns = table(spark, d, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).cast(turns.schema["turn"].dataType).alias("turn"), F.col("text").alias("right"))
+    pairs = turns.select("conv_id", "turn", F.col("text").alias("left")).join(after, ["conv_id", "turn"])
+    return lexicon.compare(pairs, "conv_id", "turn", dims=DIMS).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH f AS (SELECT conv_id, turn, (regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}'))[1] AS label FROM conversations),
+{vector_sql.vectors('SELECT label FROM f')} SELECT conv_id, turn, round(sum(val) / sqrt({DIMS}::DOUBLE), 6) AS score FROM f LEFT JOIN vec USING (label) GROUP BY conv_id, turn""")
 def compare_unit(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.compare_unit(table(spark, d, "conversations"), "conv_id", "turn", dims=DIMS)
+    return lexicon.compare_unit(table(spark, d, "conversations"), "conv_id", "turn", dims=DIMS).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, label, count(*) AS n FROM {_words_sql('pages', 'html', 'page_id')} GROUP BY 1, 2), {vector_sql.vectors('SELECT label FROM t')},
+s AS (SELECT page_id, idx, sum(n * val) AS v FROM t JOIN vec USING (label) GROUP BY page_id, idx)
+SELECT page_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY page_id)), 6) AS val FROM s""")
 def document_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.document_vectors(table(spark, d, "pages"), "page_id", "url", DIMS)
+    return lexicon.document_vectors(table(spark, d, "pages"), "page_id", "html", DIMS).withColumn("val", F.round("val", 6))
 
 
 # --- dense vectors ---
@@ -231,9 +261,8 @@ def signature10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT vec_id, round(({' + '.join(vectors.METRICS)}) / (sqrt(dims) * sqrt({' + '.join(f'{m} * {m}' for m in vectors.METRICS)})), 6) AS angle_key FROM {_SIGNATURE}")
 def angle_key(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.col(f"s.{m}") for m in vectors.METRICS]
-    total, squares = sum(parts[1:], parts[0]), sum((p * p for p in parts[1:]), parts[0] * parts[0])
-    return _signatures(spark, d).select("vec_id", F.round(F.try_divide(total, F.sqrt("dims") * F.sqrt(squares)), 6).alias("angle_key"))
+    key = vectors.angle_of([F.col(f"s.{m}") for m in vectors.METRICS], F.col("dims").cast("double"))
+    return _signatures(spark, d).select("vec_id", F.round(key, 6).alias("angle_key"))
 
 
 _LONG = "(SELECT vec_id, label, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS val FROM embeddings)"
@@ -411,22 +440,48 @@ def kv_store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # --- lexicons ---
 
 
-@query()
+def _lexicon_sql(words: str, p: str = "") -> str:
+    """CTE {p}lex (label, doc_id, pos, angle) of words (doc_id, pos, label): the first label of each angle. Equal vectors have equal keys, others differ by more than 1e-12."""
+    return f"""{vector_sql.vectors(f"SELECT label FROM {words}", p)}, {vector_sql.angles(p)},
+{p}first AS (SELECT label, min(doc_id * 1000000 + pos) AS "at" FROM {words} GROUP BY label),
+{p}lex AS (SELECT label, "at" // 1000000 AS doc_id, "at" % 1000000 AS pos, angle FROM (SELECT label, "at", angle, row_number() OVER (PARTITION BY angle ORDER BY "at", label) AS n FROM {p}ang JOIN {p}first USING (label)) WHERE n = 1)"""
+
+
+_TURNS = _words_sql("(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)", "text", "doc_id")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select((F.col("conv_id").cast("bigint") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+@query(f"WITH {_lexicon_sql(_TOKENS)} SELECT round(angle + 1.3e-13, 9) AS angle, label, CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS INTEGER) AS pos FROM lex")
 def lexicon_build(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.build(table(spark, d, "documents"))
+    return lexicon.build(table(spark, d, "documents")).select(_shown(F.col("angle")).alias("angle"), "label", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("pos").cast("int").alias("pos"))
 
 
-@query()
+def _validate_sql(words: str) -> str:
+    """The words of (doc_id, pos, label) against the lexicon of the conversations."""
+    return f"""WITH {_lexicon_sql(_TURNS, 'c_')}, {vector_sql.vectors(f"SELECT label FROM {words}")}, {vector_sql.angles()},
+hit AS (SELECT a.label, l.label AS stored FROM ang a LEFT JOIN c_lex l ON l.angle = a.angle),
+other AS (SELECT h.label, sum(x.val * coalesce(y.val, 0)) AS mutual FROM hit h JOIN vec x ON x.label = h.label LEFT JOIN c_vec y ON y.label = h.stored AND y.idx = x.idx WHERE h.stored <> h.label GROUP BY h.label),
+known AS (SELECT h.label, h.stored IS NULL AS missing, CASE WHEN h.stored IS NOT NULL THEN coalesce(o.mutual, 1) END AS mutual FROM hit h LEFT JOIN other o USING (label))
+SELECT doc_id, count(*) AS tokens, count(*) FILTER (missing) AS missing, count(*) FILTER (mutual < 0.9) AS collisions, round(least(coalesce(min(mutual), 1), 1), 6) AS lowest FROM {words} JOIN known USING (label) GROUP BY doc_id"""
+
+
+def _validated(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    stored = materialize(lexicon.build(_turns(spark, d)), "lexicon")
+    return lexicon.validate_docs(docs, stored).select("doc_id", "tokens", "missing", "collisions", F.round("lowest", 6).alias("lowest"))
+
+
+@query(_validate_sql(_TOKENS))
 def lexicon_validate(spark: SparkSession, d: str) -> DataFrame:
-    stored = materialize(lexicon.build(table(spark, d, "conversations"), "conv_id"), "lexicon")
-    return lexicon.validate_docs(table(spark, d, "documents"), stored)
+    return _validated(spark, d, table(spark, d, "documents"))
 
 
-@query(f"WITH c AS (SELECT conv_id, count(*) AS tokens FROM (SELECT conv_id, unnest(regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}')) AS label FROM conversations) GROUP BY 1) SELECT conv_id AS doc_id, tokens, 0::BIGINT AS missing FROM c")
+@query(_validate_sql(_TURNS))
 def lexicon_validate_own(spark: SparkSession, d: str) -> DataFrame:
     """A lexicon holds every word of what it was built from."""
-    docs = table(spark, d, "conversations")
-    return lexicon.validate_docs(docs, materialize(lexicon.build(docs, "conv_id"), "lexicon"), "conv_id").select("doc_id", "tokens", "missing")
+    return _validated(spark, d, _turns(spark, d))
 
 
 @query(f"SELECT label FROM {_LABELS} WHERE label NOT IN (SELECT unnest(regexp_extract_all(regexp_replace(text, '{text.SQL_BLANK}', ' ', 'g'), '{text.SQL_WORDS}')) FROM conversations)")
@@ -434,9 +489,18 @@ def lexicon_missing(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).join(_tokens(spark, d, "conversations").select("label").distinct(), "label", "left_anti")
 
 
-@query()
+@query(f"""WITH {_lexicon_sql(_TURNS, 'c_')}, {vector_sql.vectors(_LABELS)}, {vector_sql.angles()}
+SELECT DISTINCT round(angle + 1.3e-13, 9) AS angle FROM ang WHERE angle NOT IN (SELECT angle FROM c_lex)""")
 def lexicon_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.missing_angles(lexicon.build(table(spark, d, "conversations"), "conv_id"), lexicon.sample_angles(spark, 32))
+    """The angles of the documents' words that the conversations' lexicon lacks."""
+    wanted = lexicon.keyed_labels(_tokens(spark, d), DIMS).select("angle")
+    return lexicon.missing_angles(lexicon.build(_turns(spark, d)), wanted).select(_shown(F.col("angle")).alias("angle")).distinct()
+
+
+@query()
+def lexicon_sampled_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled angles that the lexicon lacks; the samples are Spark's own random numbers, so SQL has none of them."""
+    return lexicon.missing_angles(lexicon.build(_turns(spark, d)), lexicon.sample_angles(spark, 32))
 
 
 @query()
