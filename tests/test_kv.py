@@ -108,3 +108,24 @@ def test_stream_of_puts(spark, tmp_path):
         put_stream(spark.readStream.schema(data.schema).parquet(source), store, "c", f"file://{tmp_path}/log", once=True).awaitTermination()
     assert sorted((r.key, bytes(r.value)) for r in store.read("c").collect()) == [(1, b"a"), (2, b"b")]
     assert store.read("c").select(F.countDistinct("key")).first()[0] == 2
+
+
+def test_a_page_counts_the_keys_it_holds(spark, tmp_path):
+    store = kv.ColumnStore(spark, f"file://{tmp_path}/paged", ColumnOptions(page_size=3))
+    rows = lambda *keys: spark.createDataFrame([(k, i, b"v") for i, k in enumerate(keys)], "key bigint, seq bigint, value binary")
+    assert store.try_put("c", rows(1, 2)) == 2
+    with pytest.raises(kv.PageFull):
+        store.try_put("c", rows(3, 4))
+    assert store.try_put("c", rows(2, 3)) == 1
+    store.put_or_append("c", rows(1, 3))
+    with pytest.raises(kv.PageFull):
+        store.put_or_append("c", rows(9))
+    for size in (-1, 0x7FFFFFC8):
+        with pytest.raises(ValueError):
+            ColumnOptions(page_size=size)
+
+
+def test_key_exists(spark):
+    column = spark.createDataFrame([(1,), (1,), (None,)], "key bigint")
+    got = {r.key: r.exists for r in kv.key_exists(column, spark.createDataFrame([(1,), (2,), (None,)], "key bigint")).collect()}
+    assert got == {1: True, 2: False, None: False}

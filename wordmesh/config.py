@@ -22,6 +22,10 @@ class GraphOptions:
 
 @dataclass(frozen=True)
 class ColumnOptions:
-    """``page_size`` in keys limits one write where it is set."""
+    """``page_size`` in keys limits what a column holds, old keys and new ones, where it is set: from 0 to what an array may be long."""
 
     page_size: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.page_size is not None and not 0 <= self.page_size <= 0x7FFFFFC7:
+            raise ValueError(f"a page can't hold {self.page_size} keys")

@@ -175,8 +175,8 @@ def traverse(nodes: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
 
 
 def exhaustive(nodes: DataFrame, queries: DataFrame, *keys: str, k: int = 1) -> DataFrame:
-    """The k best nodes of each query over all nodes; ties go by tree and preorder."""
-    order = W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "tree", "preorder")
+    """The k best nodes of each query over all nodes; ties, to nine decimals, go by tree and preorder."""
+    order = W.partitionBy(*keys).orderBy(F.round("score", 9).desc_nulls_last(), "tree", "preorder")
     return traverse(nodes, queries, *keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -191,16 +191,28 @@ def dense_top_k(queries: DataFrame, base: DataFrame, k: int = 1) -> DataFrame:
 
     pairs = block(base, "vec_id", "v", 1 + base.count() // BASE_BLOCK).drop("block").crossJoin(block(queries, "query_id", "q", 1 + queries.count() // QUERY_BLOCK).drop("block"))
 
+    def side(b: pa.RecordBatch, i: int, column: str, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers and vectors of a block, as views of its Arrow memory; shorter vectors end in zeros."""
+        rows = b.column(column).slice(i, 1).flatten()
+        ids, lists = (dict(zip((f.name for f in rows.type), rows.flatten()))[c] for c in (key, value))
+        flat, n = np.asarray(lists.flatten(), dtype=np.float64), np.diff(np.asarray(lists.offsets))
+        width = int(n.max(initial=0))
+        if (n == width).all():
+            return np.asarray(ids), flat.reshape(len(n), width)
+        out = np.zeros((len(n), width))
+        out[np.arange(width) < n[:, None]] = flat
+        return np.asarray(ids), out
+
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ids, vs = np.array([x["vec_id"] for x in r["vs"]]), np.array([x["v"] for x in r["vs"]], dtype=np.float64)
-                qids, qs = np.array([x["query_id"] for x in r["qs"]]), np.array([x["q"] for x in r["qs"]], dtype=np.float64)
+            for i in range(b.num_rows):
+                (ids, vs), (qids, qs) = side(b, i, "vs", "vec_id", "v"), side(b, i, "qs", "query_id", "q")
+                width = min(vs.shape[1], qs.shape[1])
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (qs @ vs.T) / (np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(vs, axis=1)[None, :])
+                    s = (qs[:, :width] @ vs[:, :width].T) / (np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(vs, axis=1)[None, :])
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(np.where(np.isnan(s), -2, s), 9)), axis=1)[:, :k]
                 score = np.take_along_axis(s, order, axis=1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(score, mask=np.isnan(score))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(score, mask=np.isnan(score))], names=["query_id", "vec_id", "score"])
 
     local = pairs.mapInArrow(product, "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc_nulls_last(), "vec_id")

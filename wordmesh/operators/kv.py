@@ -70,6 +70,12 @@ def get(column: DataFrame, keys: DataFrame) -> DataFrame:
     return get_many(column, keys).select("key", F.coalesce("value", F.lit(b"")).alias("value"))
 
 
+def key_exists(column: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, exists) for each key asked; a null key is in no column."""
+    own = column.select("key").distinct().withColumn("__has", F.lit(True))
+    return keys.select("key").join(own, "key", "left").select("key", F.coalesce("__has", F.lit(False)).alias("exists"))
+
+
 def sorted_keys(column: DataFrame) -> DataFrame:
     return column.select("key").distinct().orderBy("key")
 
@@ -137,11 +143,15 @@ class ColumnStore:
             raise FileNotFoundError(f"no column of the name {name}")
         return self.spark.read.parquet(self.path(name))
 
-    def _checked(self, rows: DataFrame) -> DataFrame:
+    def _checked(self, name: str, rows: DataFrame) -> DataFrame:
+        """Raises where a value is empty, or where the page has no room for the keys it holds and the new ones."""
         if not rows.filter("value is null or octet_length(value) = 0").isEmpty():
             raise ValueError("a value must not be empty")
-        if self.options.page_size is not None and rows.select("key").distinct().count() > self.options.page_size:
-            raise PageFull(f"more than {self.options.page_size} keys in a page")
+        if self.options.page_size is not None:
+            keys = rows.select("key").distinct()
+            held = keys.union(self.read(name).select("key")).distinct() if self.exists(name) else keys
+            if held.limit(self.options.page_size + 1).count() > self.options.page_size:
+                raise PageFull(f"more than {self.options.page_size} keys in a page")
         return rows
 
     def _stored(self, name: str, like: DataFrame) -> DataFrame:
@@ -149,7 +159,7 @@ class ColumnStore:
 
     def try_put(self, name: str, rows: DataFrame) -> int:
         """Adds the rows of keys that the column lacks, and returns how many."""
-        new = materialize(try_put(self._stored(name, rows), self._checked(rows)).sortWithinPartitions("key"), "put")
+        new = materialize(try_put(self._stored(name, rows), self._checked(name, rows)).sortWithinPartitions("key"), "put")
         new.write.mode("append").parquet(self.path(name))
         return new.count()
 
@@ -157,11 +167,11 @@ class ColumnStore:
         """Adds all rows; those of known keys are numbered behind what is there."""
         old = self._stored(name, rows).groupBy("key").agg((F.max("seq") + 1).alias("after"))
         n = F.row_number().over(W.partitionBy("key").orderBy("seq", "value")) - 1
-        new = self._checked(rows).withColumn("n", n).join(old, "key", "left").select("key", (F.coalesce("after", F.lit(0)) + F.col("n")).cast("bigint").alias("seq"), "value")
+        new = self._checked(name, rows).withColumn("n", n).join(old, "key", "left").select("key", (F.coalesce("after", F.lit(0)) + F.col("n")).cast("bigint").alias("seq"), "value")
         materialize(new, "append").write.mode("append").parquet(self.path(name))
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        self._checked(rows).write.mode("overwrite").parquet(self.path(name))
+        self._checked(name, rows).write.mode("overwrite").parquet(self.path(name))
 
     def truncate(self, name: str) -> bool:
         """Removes a column; false where there is none."""

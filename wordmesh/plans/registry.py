@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordmesh.config import GraphOptions
 from wordmesh.functions import features, hashing, text, vectors
-from wordmesh.functions.storage import materialize, shared_dir
+from wordmesh.functions.storage import materialize, new_path, own_dir
 from wordmesh.operators import graph, kv, lexicon
 from wordmesh.plans import vector_sql
 from wordmesh.sources import dumps
@@ -331,32 +330,32 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").cast("binary").alias("value"))
 
 
-def _customers(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").filter("c_acctbal < 0")
-    return c.select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("c_name").cast("binary").alias("value"))
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """What the column holds before: some of the keys that orders have."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("s_name").cast("binary").alias("value"))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("value"))
 
 
-_OLD = "(SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0)"
+_OLD = "(SELECT s_suppkey AS key FROM supplier)"
 
 
 @query(f"SELECT key, seq, value FROM (SELECT o_custkey AS key, o_orderkey AS seq, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) AS n FROM orders) WHERE n = 1 AND key NOT IN {_OLD}")
 def kv_try_put(spark: SparkSession, d: str) -> DataFrame:
-    return kv.try_put(_customers(spark, d), _orders(spark, d)).withColumn("value", F.col("value").cast("string"))
+    return kv.try_put(_suppliers(spark, d), _orders(spark, d)).withColumn("value", F.col("value").cast("string"))
 
 
 @query(f"SELECT key, seq, n = 1 AND key NOT IN {_OLD} AS inserted FROM (SELECT o_custkey AS key, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) AS n FROM orders)")
 def kv_try_put_flags(spark: SparkSession, d: str) -> DataFrame:
-    return kv.try_put_flags(_customers(spark, d), _orders(spark, d))
+    return kv.try_put_flags(_suppliers(spark, d), _orders(spark, d))
 
 
-@query("""SELECT key, list(value ORDER BY late, seq, value) AS values FROM (SELECT c_custkey AS key, 0 AS late, 0 AS seq, c_name AS value FROM customer WHERE c_acctbal < 0
+@query("""SELECT key, list(value ORDER BY late, seq, value) AS values FROM (SELECT s_suppkey AS key, 0 AS late, 0 AS seq, s_name AS value FROM supplier
 UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderpriority FROM orders) GROUP BY key""")
 def kv_put_or_append(spark: SparkSession, d: str) -> DataFrame:
-    out = kv.put_or_append(_customers(spark, d), _orders(spark, d))
+    out = kv.put_or_append(_suppliers(spark, d), _orders(spark, d))
     return out.select("key", F.transform("values", lambda v: v.cast("string")).alias("values"))
 
 
@@ -406,27 +405,27 @@ def kv_intersect(spark: SparkSession, d: str) -> DataFrame:
     return kv.intersect(_keys(spark, d, "customer", "c_custkey"), _orders(spark, d))
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_custkey AS key FROM orders EXCEPT SELECT s_suppkey FROM supplier")
 def kv_except(spark: SparkSession, d: str) -> DataFrame:
-    return kv.difference(_keys(spark, d, "customer", "c_custkey"), _orders(spark, d))
+    return kv.difference(_orders(spark, d), _keys(spark, d, "supplier", "s_suppkey"))
 
 
-@query("""SELECT key, l AS left_values, r AS right_values FROM (SELECT c_custkey AS key, list(c_name) AS l FROM customer WHERE c_acctbal < 0 GROUP BY 1)
+@query("""SELECT key, l AS left_values, r AS right_values FROM (SELECT s_suppkey AS key, list(s_name) AS l FROM supplier GROUP BY 1)
 JOIN (SELECT o_custkey AS key, list(o_orderpriority ORDER BY o_orderkey, o_orderpriority) AS r FROM orders GROUP BY 1) USING (key)""")
 def kv_join(spark: SparkSession, d: str) -> DataFrame:
     strings = lambda c: F.transform(c, lambda v: v.cast("string")).alias(c)
-    return kv.join(_customers(spark, d), _orders(spark, d)).select("key", strings("left_values"), strings("right_values"))
+    return kv.join(_suppliers(spark, d), _orders(spark, d)).select("key", strings("left_values"), strings("right_values"))
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey * 3 - 1 AS key, c_custkey * 3 - 1 IN (SELECT o_custkey FROM orders) AS exists FROM customer")
 def kv_key_exists(spark: SparkSession, d: str) -> DataFrame:
-    return _keys(spark, d, "customer", "c_custkey").join(_orders(spark, d).select("key").distinct(), "key", "left_semi")
+    return kv.key_exists(_orders(spark, d), table(spark, d, "customer").select((F.col("c_custkey") * 3 - 1).alias("key")))
 
 
 @query("SELECT o_custkey AS key, count(*) AS n, string_agg(o_orderpriority, '' ORDER BY o_orderkey, o_orderpriority) AS value FROM orders GROUP BY 1")
 def kv_store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Two puts into a stored column, then a read of all keys."""
-    store = kv.ColumnStore(spark, f"{shared_dir(spark)}/wordmesh/columns")
+    store = kv.ColumnStore(spark, f"{own_dir(spark)}/columns")
     name = "orders of " + d
     store.truncate(name)
     rows = _orders(spark, d)
@@ -522,14 +521,37 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bags(spark: SparkSession, d: str) -> DataFrame:
+    """Small bags for the one tree that is one task: users' events."""
     return graph.bag_of_words(_sentences(spark, d), vocab_first_seen(spark, d), "user_id")
 
 
-@query("""WITH v AS (SELECT word, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM (SELECT event_type AS word, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1),
-c AS (SELECT user_id, i, count(*) AS n FROM events JOIN v ON event_type = word GROUP BY 1, 2) SELECT user_id, CAST(i AS INTEGER) AS index, CAST(n AS INTEGER) AS n FROM c""")
+def _turn_bags(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, sentence, indices, values): the turns of all conversations over the vocabulary of their own words."""
+    turns = _turns(spark, d)
+    words = text.vocabulary(text.tokens(turns, "text", "doc_id"), "label", "doc_id", "pos")
+    return graph.bag_of_words(turns.select("doc_id", F.array_join(text.split_words(F.col("text")), ";").alias("sentence")), words, "doc_id")
+
+
+_BAGS = f"""first AS (SELECT label, min(doc_id * 1000000 + pos) AS "at" FROM {_TURNS} GROUP BY label), v AS (SELECT label, row_number() OVER (ORDER BY "at") - 1 AS i FROM first),
+c AS (SELECT doc_id, i, count(*)::DOUBLE AS n FROM {_TURNS} JOIN v USING (label) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BAGS} SELECT doc_id, CAST(i AS INTEGER) AS index, CAST(n AS INTEGER) AS n FROM c")
 def bag_of_words(spark: SparkSession, d: str) -> DataFrame:
-    bags = _bags(spark, d)
-    return bags.select("user_id", F.explode(F.arrays_zip("indices", "values")).alias("p")).select("user_id", F.col("p.indices").alias("index"), F.col("p.values").cast("int").alias("n"))
+    return _turn_bags(spark, d).select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("p")).select("doc_id", F.col("p.indices").alias("index"), F.col("p.values").cast("int").alias("n"))
+
+
+@query(f"""WITH {_BAGS}, l AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS q, b.doc_id AS node, sum(a.n * b.n) AS dot FROM c a JOIN c b USING (i) WHERE a.doc_id % 100 = 0 GROUP BY 1, 2),
+s AS (SELECT q, node, dot / (x.size * y.size) AS score FROM p JOIN l x ON x.doc_id = q JOIN l y ON y.doc_id = node),
+r AS (SELECT q, node, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, node) AS rank FROM s)
+SELECT q AS doc_id, CAST(node AS BIGINT) AS node, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def graph_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 best of all turns for each turn whose number is divisible by 100."""
+    bags = materialize(_turn_bags(spark, d), "bags")
+    nodes = bags.select(F.lit("all").alias("tree"), F.col("doc_id").alias("node_id"), F.col("sentence").alias("label"), "indices", "values", F.col("doc_id").alias("preorder"))
+    found = graph.exhaustive(nodes, bags.filter("doc_id % 100 = 0").select("doc_id", "indices", "values"), "doc_id", k=5).filter("score > 0")
+    return found.select("doc_id", F.col("node_id").cast("bigint").alias("node"), F.round("score", 6).alias("score"), "rank")
 
 
 @query()
@@ -539,20 +561,21 @@ def graph_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_forest(spark: SparkSession, d: str) -> DataFrame:
-    """One tree for each of 16 hash groups of users."""
-    return graph.build(_bags(spark, d).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(16))), "user_id", "part")
+    """One tree for each conversation."""
+    return graph.build(_turn_bags(spark, d).withColumn("conv", F.floor(F.col("doc_id") / 1000)), "doc_id", "conv")
 
 
 @query()
-def graph_descend(spark: SparkSession, d: str) -> DataFrame:
-    bags = materialize(_bags(spark, d), "bags")
-    return graph.search(materialize(graph.build(bags, "user_id"), "nodes"), bags, "user_id")
+def graph_forest_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all conversations' trees for each turn whose number is divisible by 100."""
+    asked = _turn_bags(spark, d).filter("doc_id % 100 = 0").select("doc_id", "indices", "values")
+    return graph.best_of_forest(graph.search(materialize(graph_forest(spark, d), "nodes"), materialize(asked, "asked"), "doc_id"), "doc_id")
 
 
 @query()
-def graph_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+def graph_descend(spark: SparkSession, d: str) -> DataFrame:
     bags = materialize(_bags(spark, d), "bags")
-    return graph.exhaustive(materialize(graph.build(bags, "user_id"), "nodes"), bags, "user_id")
+    return graph.search(materialize(graph.build(bags, "user_id"), "nodes"), bags, "user_id")
 
 
 @query()
@@ -562,7 +585,7 @@ def graph_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/wordmesh/graph-{uuid.uuid4().hex}"
+    path = new_path(spark, "graph")
     graph.save(graph_forest(spark, d), path, 16)
     return graph.load(spark, path)
 
@@ -570,11 +593,27 @@ def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # --- sources ---
 
 
+def _dump(spark: SparkSession, d: str) -> str:
+    """Writes the documents as a gzipped dump, in the order of their numbers, and gives its path."""
+    path = new_path(spark, "dump")
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("title"), "text")).alias("value"))
+    head = spark.createDataFrame([(-1, "[")], "doc_id bigint, value string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("compression", "gzip").text(path)
+    return path
+
+
 @query("SELECT 'd' || doc_id AS title, text, 'https://en.wikipedia.org/wiki/d' || doc_id AS url FROM documents WHERE text IS NOT NULL")
 def dump_read(spark: SparkSession, d: str) -> DataFrame:
-    """Writes the documents as a gzipped dump and reads them back."""
-    path = f"{shared_dir(spark)}/wordmesh/dump-{uuid.uuid4().hex}"
-    rows = table(spark, d, "documents").select(F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("title"), "text")).alias("value"))
-    head = spark.createDataFrame([("[",)], "value string")
-    head.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value").write.option("compression", "gzip").text(path)
-    return dumps.read(spark, path, ["title", "text", "url"]).drop("line")
+    """Writes the documents as a dump and reads them back."""
+    return dumps.read(spark, _dump(spark, d), ["title", "text", "url"]).drop("line")
+
+
+@query("SELECT 'lang' AS field, doc_id AS line, lang AS value FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'text', doc_id, text FROM documents WHERE text IS NOT NULL")
+def source_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.TableSource(table(spark, d, "documents"), "doc_id").get_data(["lang", "text"])
+
+
+@query("SELECT title, text FROM (SELECT 'd' || doc_id AS title, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 100 AND n <= 300")
+def dump_window(spark: SparkSession, d: str) -> DataFrame:
+    """200 records of a dump behind the first 100."""
+    return dumps.read(spark, _dump(spark, d), ["title", "text"], skip=100, take=200).drop("line")

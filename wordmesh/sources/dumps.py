@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +21,32 @@ def page_url(title: Column, prefix: str = URL) -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of the records. Files are read whole, each by one task, as gzip can't be split; what follows is spread."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value", F.input_file_name().alias("file"))
+    """(line, value) of the records, in one scan. Lines are numbered in their order; a compressed file, which can't be split, is one task."""
+    raw = spark.read.text(path)
+    if not all(f.endswith(".gz") for f in raw.inputFiles()):
+        return _lines_of_parts(raw)
+    numbered = raw.select(F.monotonically_increasing_id().alias("line"), "value", F.input_file_name().alias("file"))
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ended = None, False
+        for b in batches:
+            keep = []
+            for i, (file, value) in enumerate(zip(b.column("file").to_pylist(), b.column("value").to_pylist())):
+                if file != now:
+                    now, ended = file, False
+                elif not ended:
+                    ended = value.startswith("]") or not value.strip()
+                    if not ended:
+                        keep.append(i)
+            if keep:
+                yield b.take(pa.array(keep)).select(["line", "value"])
+
+    return numbered.mapInArrow(body, "line bigint, value string")
+
+
+def _lines_of_parts(raw: DataFrame) -> DataFrame:
+    """The same for files that are read in parts: where a file starts and ends is found first."""
+    raw = raw.select(F.monotonically_increasing_id().alias("line"), "value", F.input_file_name().alias("file"))
     start = raw.groupBy("file").agg(F.min("line").alias("start"))
     ends = F.trim(F.regexp_replace("value", r"\s", " ")) == ""
     body = raw.join(F.broadcast(start), "file").filter(F.col("line") > F.col("start"))
@@ -26,6 +54,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return body.join(F.broadcast(stop), "file", "left").filter(F.col("stop").isNull() | (F.col("line") < F.col("stop"))).select("line", "value")
 
 
+def _window(found: DataFrame, skip: int, most: int) -> DataFrame:
+    """The records from ``skip`` on, ``most`` at most, in the order of lines: counts of what each task read say where its own records stand."""
+    found = found.withColumn("__part", F.shiftright("line", 33))
+    sizes = found.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
+    sizes = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy("line")) + F.col("__before")
+    out = found.join(F.broadcast(sizes), F.col("__part") == F.col("__p")).withColumn("__n", place)
+    return out.filter((F.col("__n") > skip) & (F.col("__n") <= skip + most)).select("line", "value")
+
+
 def _field(name: str) -> Column:
     """A top-level field as text: nested JSON as its text, true and false capitalized, null as ''."""
     v = F.try_variant_get(F.try_parse_json("value"), f"$['{name}']", "variant")
@@ -40,8 +79,7 @@ def read(spark: SparkSession, path: str, fields: list[str], skip: int = 0, take:
     columns = {f: page_url(_field("title"), prefix) if f == "url" else _field(f) for f in fields}
     found = found.select("line", "value")
     if skip or (take is not None and count_all):
-        n = F.row_number().over(W.orderBy("line"))
-        found = found.withColumn("__n", n).filter((F.col("__n") > skip) & (F.col("__n") <= skip + (take if take is not None and count_all else 2**62))).drop("__n")
+        found = _window(found, skip, take if take is not None and count_all else 2**62)
     out = found.select("line", *[c.alias(f) for f, c in columns.items()])
     if not count_all:
         plain = [f for f in fields if f != "url"]
@@ -57,6 +95,32 @@ def pairs(records: DataFrame, fields: list[str]) -> DataFrame:
     return records.select("line", F.explode(made).alias("p")).select("p.field", "line", "p.value")
 
 
+class DataSource(Protocol):
+    """Anything that gives (field, line, value) rows of the fields asked."""
+
+    def get_data(self, fields: list[str]) -> DataFrame: ...
+
+
+class DumpSource:
+    """A gzipped dump as a source."""
+
+    def __init__(self, spark: SparkSession, path: str, skip: int = 0, take: int | None = None):
+        self.spark, self.path, self.skip, self.take = spark, path, skip, take
+
+    def get_data(self, fields: list[str]) -> DataFrame:
+        return pairs(read(self.spark, self.path, fields, self.skip, self.take), fields)
+
+
+class TableSource:
+    """The string columns of a table as a source; ``key`` numbers the rows."""
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.rows, self.key = rows, key
+
+    def get_data(self, fields: list[str]) -> DataFrame:
+        return pairs(self.rows.select(F.col(self.key).alias("line"), *[F.col(f).cast("string").alias(f) for f in fields]), fields)
+
+
 def table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """A Parquet table of a folder of tables."""
     reader = spark.read if schema is None else spark.read.schema(schema)
