@@ -173,6 +173,11 @@ def test_zero_vectors_have_no_score(spark):
     assert got.c is None and got.s.cosine == 0.0 and got.s.projection == 0.0 and got.s.jaccard == 0.0
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    r = spark.createDataFrame([(x,) for x in (-4e-7, 4e-7, -0.1234565, 0.0, None, float("nan"))], "v double").select(vectors.rounded(F.col("v"), 6).alias("r")).collect()
+    assert [str(x.r) for x in r] == ["-0.0", "0.0", "-0.123457", "0.0", "None", "nan"]
+
+
 def test_angle_key_is_the_signature_in_long_form(spark):
     labels = ["hello", "Paris", "123"]
     rows = spark.createDataFrame([(x,) for x in labels], "label string")
