@@ -4,6 +4,7 @@ import math
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,6 +174,24 @@ def test_zero_vectors_have_no_score(spark):
     assert got.c is None and got.s.cosine == 0.0 and got.s.projection == 0.0 and got.s.jaccard == 0.0
 
 
+def test_document_vectors_sum_words_where_they_are(spark):
+    """Rows of one key are one document, also of no key; empty ones have no vector."""
+    texts = [(1, "alpha beta alpha"), (2, "gamma"), (2, "gamma delta é"), (None, "one"), (None, "two"), (3, "..."), (4, None)]
+    got: dict = {}
+    frame = lexicon.document_vectors(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    for r in frame.collect():
+        got.setdefault(r.doc_id, {})[r.idx] = r.val
+    want = {1: ["alpha", "beta", "alpha"], 2: ["gamma", "gamma", "delta", "é"], None: ["one", "two"]}
+    assert set(got) == set(want)
+    for key, words in want.items():
+        total = np.zeros(512)
+        for i, v in features.featurize(words):
+            total[i] += v
+        assert got[key] == pytest.approx({i: x for i, x in enumerate(total / np.sqrt((total * total).sum())) if x})
+    single = lexicon.document_vectors(spark.createDataFrame([(i, f"w{i} x") for i in range(600)], "doc_id bigint, text string"))
+    assert single.select("doc_id").distinct().count() == 600
+
+
 def test_rounding_keeps_the_sign_of_zero(spark):
     r = spark.createDataFrame([(x,) for x in (-4e-7, 4e-7, -0.1234565, 0.0, None, float("nan"))], "v double").select(vectors.rounded(F.col("v"), 6).alias("r")).collect()
     assert [str(x.r) for x in r] == ["-0.0", "0.0", "-0.123457", "0.0", "None", "nan"]

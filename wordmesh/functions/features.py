@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from wordmesh.functions.hashing import OFFSET, PRIME, ROLLING, bucket, units
 
 _CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Zs Zl Zp Cc Cf Cs Co Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Cn".split()
 _NUMBER = re.compile(r"[+-]?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+#: Words whose vectors a task keeps.
+KNOWN = 100_000
 _SPECIAL = {"infinity": float("inf"), "+infinity": float("inf"), "-infinity": float("-inf"), "nan": float("nan"), "+nan": float("nan"), "-nan": float("nan")}
 
 
@@ -187,6 +190,49 @@ def vectors(labels: DataFrame, label: str = "label", dims: int = 512, *keep: str
     return own.mapInArrow(run, schema)
 
 
+def sums(rows: DataFrame, dims: int, unit: bool, schema: str) -> DataFrame:
+    """(key, idx, val): the sum of the vectors of each row's ``words``, of unit norm with ``unit``. A task keeps the vectors of words it met, up to KNOWN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for a, b in _runs(np.asarray(pc.list_value_length(batch.column("words")))):
+                part = batch.slice(a, b - a)
+                lists = part.column("words")
+                coded = lists.flatten().dictionary_encode()
+                names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+                if len(known) > KNOWN:
+                    known.clear()
+                new = [x for x in names if x not in known]
+                known.update(zip(new, featurize(new, dims)))
+                found = [known[x] for x in names]
+                size = np.array([len(i) for i, _ in found])
+                start = np.cumsum(size) - size
+                index, value = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                row = np.repeat(np.arange(b - a), np.asarray(pc.list_value_length(lists)))
+                pair, n = np.unique(row * len(names) + code, return_counts=True)
+                row, code = np.divmod(pair, len(names))
+                total = np.zeros((b - a, dims))
+                for c in range(0, len(row), 1 << 15):
+                    r, w = row[c : c + (1 << 15)], code[c : c + (1 << 15)]
+                    many = size[w]
+                    at = np.repeat(start[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    np.add.at(total.reshape(-1), np.repeat(r, many) * dims + index[at], np.repeat(n[c : c + (1 << 15)], many) * value[at])
+                if unit:
+                    total /= np.sqrt((total * total).sum(axis=1))[:, None]
+                r, i = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(r)), pa.array(i.astype(np.int32)), pa.array(total[r, i])], names=["key", "idx", "val"])
+
+    return rows.select("key", "words").mapInArrow(run, schema)
+
+
+def _runs(lengths: np.ndarray, words: int = 1 << 16, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``rows`` lists that end when they have ``words`` words."""
+    part = np.maximum(np.cumsum(lengths) // words, np.arange(len(lengths)) // rows) if len(lengths) else lengths
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def geo_flags(labels: DataFrame, label: str = "label") -> DataFrame:
     """(label, number, geo) of raw strings."""
 

@@ -120,10 +120,18 @@ def compare_unit(docs: DataFrame, *keys: str, column: str = "text", dims: int =
 
 
 def document_vectors(docs: DataFrame, key: str = "doc_id", column: str = "text", dims: int = 512) -> DataFrame:
-    """(key, idx, val): the normalized sum of each document's word vectors, in long form."""
-    own = text.tokens(docs, column, key)
-    counts = own.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-    rows = vectors.long_form(counts.join(features.vectors(own, "label", dims), "label"), "vector", key, "n").withColumn("val", F.col("val") * F.col("n"))
-    total = vectors.vector_sum(rows, key)
-    size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy(key)))
-    return total.select(key, "idx", F.try_divide("val", size).alias("val"))
+    """(key, idx, val): the normalized sum of each document's word vectors, in long form.
+
+    A document's words are featurized and summed where it is read, so its entries aren't shuffled; only rows whose key others have, too, are brought together.
+    """
+    own = docs.select(key, text.split_words(F.col(column)).alias("words")).filter(F.size("words") > 0)
+    often = docs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col(key).alias("__key"))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    single = own.join(often, same, "left_anti")
+    several = own.join(often, same, "left_semi")
+    kind = docs.schema[key].dataType
+    long = f"key {kind.simpleString()}, idx int, val double"
+    sums = features.sums(several.withColumnRenamed(key, "key"), dims, False, long).groupBy("key", "idx").agg(F.sum("val").alias("val"))
+    size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy("key")))
+    shared = sums.select("key", "idx", F.try_divide("val", size).alias("val"))
+    return features.sums(single.withColumnRenamed(key, "key"), dims, True, long).unionByName(shared).withColumnRenamed("key", key)
