@@ -29,6 +29,24 @@ def test_build_and_validate(spark, tmp_path):
     assert not bad.valid and bad.missing > 0
 
 
+@pytest.mark.parametrize("often", [0, 2, 100])
+def test_frequent_words_are_looked_up_as_others(spark, monkeypatch, often):
+    monkeypatch.setattr(lexicon, "OFTEN", often)
+    stored = lexicon.build(corpus(spark, ["a b c"])).localCheckpoint()
+    found = lexicon.validate_docs(corpus(spark, ["a a x b", "y y x", "", None, "c"]), stored)
+    got = sorted((r.doc_id, r.tokens, r.missing, r.collisions) for r in found.collect())
+    assert got == [(0, 4, 1, 0), (1, 3, 3, 0), (4, 1, 0, 0)]
+    shuffled = found.select("tokens", "missing", "lowest")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shuffled and "SortAggregate" not in shuffled
+
+
+def test_neighbours_of_any_numbers_meet(spark):
+    texts = [(-1, "a b"), (0, "a a c"), (63, "x y"), (64, "y y x"), (64, "y"), (65, "z"), (66, "z"), (68, "z"), (None, "z"), (69, None), (127, "q"), (128, "r")]
+    frame = lexicon.neighbour_dots(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted(map(tuple, frame.collect())) == [(-1, 0, 2), (63, 64, 4), (65, 66, 1)]
+
+
 def test_first_word_of_an_angle_stays(spark):
     r = {x.label: (x.doc_id, x.pos) for x in lexicon.build(corpus(spark, ["b a", "a c"])).collect()}
     assert r == {"b": (0, 0), "a": (0, 1), "c": (1, 1)}

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordmesh.config import AnalyzerOptions
 from wordmesh.functions import features, text, vectors
+from wordmesh.functions.storage import materialize
+
+#: Words that are looked up without a shuffle; bits of a document's number that stay in one run.
+OFTEN, RUN = 20_000, 6
 
 
 def keyed_labels(tokens: DataFrame, dims: int, *keep: str) -> DataFrame:
@@ -39,17 +46,26 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def known_words(docs: DataFrame, lexicon: DataFrame, column: str = "text", options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
+    """(label, n, missing, mutual): each distinct word, how often it occurs, and its cosine with the vector stored under its angle."""
+    words = text.tokens(docs.select(F.col(column).alias("text")), "text").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    stored = lexicon.select("angle", F.col("vector").alias("stored"))
+    keyed = keyed_labels(words, options.dims, "n").join(stored, "angle", "left")
+    mutual = F.when(F.col("stored").isNotNull(), vectors.sparse_cosine(F.col("vector"), F.col("stored")))
+    return keyed.select("label", "n", F.col("stored").isNull().alias("missing"), mutual.alias("mutual"))
+
+
 def lookups(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", column: str = "text", options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
-    """(doc_id, label, n, pos, missing, mutual): each document's distinct words, how often and where first, against the vector stored under the word's angle.
+    """(doc_id, pos, label, missing, mutual): each word of each document against the vector stored under the word's angle.
 
-    A document has one row for a word however often it says it, so frequent words cost a row a document, and Spark splits their partitions.
+    The OFTEN most frequent words are looked up where they are read; only the others are shuffled, so no word has a large part.
     """
     own = text.tokens(docs.select(F.col(key).alias("doc_id"), F.col(column).alias("text")), "text", "doc_id")
-    own = own.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    stored = lexicon.select("angle", F.col("vector").alias("stored"))
-    keyed = keyed_labels(own, options.dims).join(stored, "angle", "left")
-    mutual = F.when(F.col("stored").isNotNull(), vectors.sparse_cosine(F.col("vector"), F.col("stored")))
-    return own.join(keyed.select("label", F.col("stored").isNull().alias("missing"), mutual.alias("mutual")), "label")
+    known = materialize(known_words(docs, lexicon, column, options), "words")
+    often = materialize(known.orderBy(F.col("n").desc(), "label").limit(OFTEN), "often").drop("n")
+    near = own.join(F.broadcast(often), "label")
+    far = own.join(F.broadcast(often.select("label")), "label", "left_anti").join(known.drop("n"), "label")
+    return near.unionByName(far)
 
 
 def validate_docs(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", column: str = "text", options: AnalyzerOptions = AnalyzerOptions()) -> DataFrame:
@@ -59,11 +75,11 @@ def validate_docs(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", colu
     1, and 1 with no label where there is none.
     """
     found = lookups(docs, lexicon, key, column, options)
-    low = F.min(F.when(F.col("mutual") < 1, F.struct("mutual", "pos", "label")))
-    times = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
-    return found.groupBy("doc_id").agg(F.sum("n").alias("tokens"), times(F.col("missing")).alias("missing"), times(F.col("mutual") < options.identity).alias("collisions"), low.alias("low")).select(
-        "doc_id", "tokens", "missing", "collisions", F.coalesce("low.mutual", F.lit(1.0)).alias("lowest"), F.coalesce("low.label", F.lit("")).alias("lowest_label")
-    )
+    below = lambda c: F.min(F.when(F.col("mutual") < 1, c))
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("tokens"), F.count_if("missing").alias("missing"), F.count_if(F.col("mutual") < options.identity).alias("collisions"),
+        F.coalesce(below(F.col("mutual")), F.lit(1.0)).alias("lowest"), F.coalesce(below(F.struct("mutual", "pos", "label"))["label"], F.lit("")).alias("lowest_label"),
+    )
 
 
 @dataclass(frozen=True)
@@ -119,6 +135,48 @@ def compare_unit(docs: DataFrame, *keys: str, column: str = "text", dims: int =
     return own.join(known, "label", "left").select(*keys, vectors.unit_cosine(F.col("vector")).alias("score"))
 
 
+def neighbour_dots(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(a, b, dot): the product of the word counts of each document and of the next number's, where they share a word.
+
+    Runs of RUN numbers are brought together, each with the number behind it, and read in their order: two documents' counts are held at a time.
+    """
+    own = docs.select(F.col(key).cast("bigint").alias("a"), F.col(column).alias("text")).filter("a is not null and text is not null")
+    run = F.explode(F.array_distinct(F.array(F.shiftright("a", RUN), F.shiftright(F.col("a") - 1, RUN))))
+    placed = own.select("a", run.alias("run"), "text").repartition("run").sortWithinPartitions("run", "a").select("run", "a", text.split_words(F.col("text")).alias("words"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, before = None, Counter(), None
+        out: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            if before is not None and before[0] == (at[0], at[1] - 1):
+                less, more = sorted((before[1], now), key=len)
+                if dot := sum(n * more[w] for w, n in less.items() if w in more):
+                    out.append((at[1] - 1, at[1], dot))
+
+        def rows() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "dot"])
+            out.clear()
+            return found
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                for place, words in zip(zip(part.column("run").to_pylist(), part.column("a").to_pylist()), part.column("words")):
+                    if place != at:
+                        if at is not None:
+                            close()
+                            before = (at, now)
+                        at, now = place, Counter()
+                    now.update(words.as_py())
+            yield rows()
+        if at is not None:
+            close()
+            yield rows()
+
+    return placed.mapInArrow(read, "a bigint, b bigint, dot bigint")
+
+
 def document_vectors(docs: DataFrame, key: str = "doc_id", column: str = "text", dims: int = 512) -> DataFrame:
     """(key, idx, val): the normalized sum of each document's word vectors, in long form.
 
