@@ -232,3 +232,21 @@ def test_vocabulary(spark):
     s = spark.createDataFrame([(0, "a;;b;z;a")], "id int, sentence string")
     assert sorted((r.pos, r.word) for r in text.vocabulary_tokens(s, v, "sentence", "id").collect()) == [(0, "a"), (1, "b"), (3, "a")]
     assert re.match(r"\w", "a")
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    s = spark.createDataFrame([(7, "b;a;;b"), (7, "a"), (8, None), (9, ";")], "id bigint, sentence string")
+    counts = text.word_counts(s, "sentence", "id")
+    assert sorted(map(tuple, counts.collect())) == [(7, "a", 1, 0), (7, "a", 1, 1), (7, "b", 2, 0)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_places_are_found_without_sorting(spark):
+    rows = [("z", 3, 0), ("a", 3, 1), ("z", 2, 9), ("m", -5, 3), ("n", -5, 2), ("o", -(2**63), 4), ("p", 2**63 - 1, 2**31 - 1), ("q", 2**63 - 1, 0), ("r", None, 1), ("s", None, None), ("t", 2, 9), ("a", 1, 5)]
+    words = spark.createDataFrame(rows, "w string, id bigint, pos int")
+    low = lambda x: float("-inf") if x is None else x
+    first = {w: min((low(i), low(p)) for x, i, p in rows if x == w) for w, _, _ in rows}
+    want = {w: n for n, w in enumerate(sorted(first, key=lambda w: (*first[w], w)))}
+    assert {r.word: r["index"] for r in text.vocabulary(words, "w", "id", "pos").collect()} == want
+    plan = words.groupBy("w").agg(F.min(text._place(words, "id", "pos")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
